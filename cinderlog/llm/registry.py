@@ -33,12 +33,42 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(docs, public_tokenizers.path(BYTE_BPE)).select("doc_id", n_bytes("text").alias("n_bytes"), "n_tokens", "over_limit")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40, its place there, and its shard if there were 41."""
+    from cinderlog.llm.sharding import with_shards, with_slots
+
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    sharded = with_shards(docs, "doc_id", [1.0] * 40)
+    return with_slots(sharded).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources takes."""
+    from cinderlog.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text, and their likeness."""
+    from cinderlog.llm.fingerprints import edited_fingerprints, fingerprint
+
+    full = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return full.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_encoding": op2_bpe_encoding,
+        "op3_sharding": op3_sharding,
+        "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
+        "op6_fingerprints": op6_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from cinderlog.llm.mixing import ORACLE_SQL as mixing
+
+    return {"op4_mixing": mixing}
