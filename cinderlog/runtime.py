@@ -14,8 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 REPO = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows of a batch for Python workers: Spark's default of 10,000 whole documents is a lot of memory.
+BATCH_ROWS = 1000
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package by name, so that they keep module-level caches between tasks."""
+    """Let Python workers import this package by name, so that they keep module-level caches between tasks.
+
+    Also bounds the batches that they get, unless the session sets a smaller bound itself.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in paths:
