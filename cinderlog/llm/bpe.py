@@ -17,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderlog.runtime import on_workers
 
@@ -27,7 +28,9 @@ from cinderlog.runtime import on_workers
 PATTERN = " ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of text for which words are held at a time, and words that a worker remembers.
-PIECE, REMEMBERED, LONGEST_REMEMBERED = 1 << 20, 250_000, 64
+PIECE, REMEMBERED, LONGEST_REMEMBERED = 1 << 20, 150_000, 64
+#: Texts whose ids are held at a time on their way out.
+STEP = 128
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -250,6 +253,16 @@ class Bpe:
             for x in batches:
                 yield pa.array([decode(t, i) for i in x.to_pylist()], pa.string())
 
+        def round_trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            e = encoder(shared.value)
+            for x in batches:
+                for at in range(0, len(x), STEP):
+                    part = x.slice(at, STEP)
+                    ids = e.encode(part.column(part.num_columns - 1).to_pylist())
+                    back = [decode(e.tables, i) for i in ids]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(back, pa.string())], [*part.schema.names[:-1], "ids", "decoded"])
+
+        self._round_trips = round_trips
         self._encode = F.arrow_udf("binary")(encode_batches)
         self._decode = F.arrow_udf("string")(decode_batches)
 
@@ -262,5 +275,11 @@ class Bpe:
         return self._decode(ids)
 
 
+    def round_trip(self, df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+        """keep (neither `ids` nor `decoded`), ids and decoded: the ids of each text and the text decoded from them, in one pass of one worker."""
+        schema = T.StructType([*df.select(*keep).schema, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+        return df.select(*keep, F.col(text).alias("_text")).mapInArrow(self._round_trips, schema)
+
+
 def n_ids(ids: Column | str) -> Column:
     return (F.octet_length(ids) / 4).cast("long")

@@ -19,10 +19,8 @@ def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole document and of the text decoded from them."""
     from cinderlog.llm.bpe import Bpe, n_ids
 
-    bpe = Bpe(spark, public_tokenizers.path(BYTE_BPE))
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
-    decoded = ids.select("doc_id", "ids", bpe.decode("ids").alias("decoded"))
-    return decoded.select("doc_id", n_ids("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    full = Bpe(spark, public_tokenizers.path(BYTE_BPE)).round_trip(table(spark, sf_dir, "documents"), ["doc_id"])
+    return full.select("doc_id", n_ids("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
