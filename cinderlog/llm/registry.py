@@ -56,6 +56,22 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near-duplicates and number of links."""
+    from cinderlog.llm.ngram_join import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log importance weight, and whether the resampling keeps it."""
+    from cinderlog.llm.quality import fit, resample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return resample(docs, model)[0].select("doc_id", "log_weight", "sort_key", "keep")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_encoding": op2_bpe_encoding,
@@ -63,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_fingerprints": op6_fingerprints,
+        "op8_ngram_join": op8_ngram_join,
+        "op9_quality": op9_quality,
     }
 
 
