@@ -27,6 +27,10 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _hash(key: Column, seed: str) -> Column:
+    return F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("-")))), 1, 16)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """sizes: (sk, sn, source_size), one row a source. Adds target: share of all sizes dealt out by weight, at most cap
     times the source's size, the excess dealt to the others by weight. One row a source is all that this sorts."""
@@ -49,8 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """(key, source, size, source_size, target, taken) of every row: how many of its words the mix takes."""
-    h = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("-")))), 1, 16)
-    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), n_words(text).alias("size"), h.alias("h"))
+    rows = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), n_words(text).alias("size"), _hash(F.col(key), seed).alias("h"))
     units = durable(rows.groupBy("k", "source", "size", "h").agg(F.count(F.lit(1)).alias("n")), "mix")
     units = units.withColumns({"sk": F.coalesce("source", F.lit("")), "sn": F.col("source").isNull(), "b": F.substring("h", 1, 3)})
 
@@ -95,3 +98,20 @@ select doc_id, size, source_size, target,
   (passes * size + greatest(0, least(size, budget - passes * source_size - pos)))::bigint taken
 from e
 """
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of docs as often as the mix reads them, in whole documents.
+
+    The document at a source's cut is read if the mix takes half of it or more. Texts aren't moved: a row's key is held
+    against its source's cut, one row a source. Rows that repeat a key stay or go together.
+    """
+    columns = docs.columns
+    full = mix(docs, key, source, text, seed, weights, share, cap).select(F.col(key).alias("k"), F.col(source).alias("source"), "size", "source_size", "target", "taken")
+    passes = F.when(F.col("source_size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("source_size"))).otherwise(F.lit(0))
+    more = (F.col("size") > 0) & ((F.col("taken") - passes * F.col("size")) * 2 >= F.col("size"))
+    place = lambda k: F.struct(_hash(k, seed).alias("h"), k.isNull().alias("n"), k.alias("k"))
+    cuts = full.groupBy(F.col("source").alias("_source")).agg(F.max(passes).cast("int").alias("_passes"), F.max(F.when(more, place(F.col("k")))).alias("_cut"))
+    copies = F.col("_passes") + F.coalesce((place(F.col(key)) <= F.col("_cut")).cast("int"), F.lit(0))
+    rows = docs.join(durable(cuts, "cuts"), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)

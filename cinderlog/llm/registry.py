@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules that the contract names.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that fits every page's URL, and the verdict on it."""
+    from cinderlog.llm.urls import judge, labelled_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES, labelled_urls()).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole document and of the text decoded from them."""
     from cinderlog.llm.bpe import Bpe, n_ids
@@ -56,6 +68,13 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from cinderlog.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of near-duplicates and number of links."""
     from cinderlog.llm.ngram_join import similarity_join
@@ -72,15 +91,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, model)[0].select("doc_id", "log_weight", "sort_key", "keep")
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best matches of every vector whose id is divisible by 50, among all vectors."""
+    from cinderlog.llm.vectors import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_bpe_encoding": op2_bpe_encoding,
         "op3_sharding": op3_sharding,
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_fingerprints": op6_fingerprints,
+        "op7_html_text": op7_html_text,
         "op8_ngram_join": op8_ngram_join,
         "op9_quality": op9_quality,
+        "op10_vector_search": op10_vector_search,
+        "pipeline": pipeline,
     }
 
 
