@@ -72,7 +72,8 @@ def from_frame(df: DataFrame, *order: str) -> DataFrame:
         renamed = renamed.withColumn("variables", F.array().cast("array<string>"))
     others = [c for c in renamed.columns if c not in ("log", "variables", "EventID", "template", "ord")]
     fields = F.create_map(*(x for c in others for x in (F.lit(c), F.col(c).cast("string")))) if others else F.create_map().cast("map<string,string>")
-    placed = with_ordinal(renamed, *order) if order else renamed
+    new = {"Content": "log", "ParamList": "variables", "EventIDs": "EventID", "Templates": "template"}
+    placed = with_ordinal(renamed, *(new.get(c, c) for c in order)) if order else renamed
     return placed.select("ord", F.col("ord").cast("string").alias("logID"), "log", F.col("EventID").cast("int").alias("EventID"), "template", "variables", F.map_filter(fields, lambda _, v: v.isNotNull()).alias("logFormatVariables"))
 
 
