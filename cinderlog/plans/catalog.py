@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cinderlog.functions.text import as_number
 from cinderlog.functions.timestamps import to_seconds
 from cinderlog.operators import detectors as d
-from cinderlog.operators import mining, stability
+from cinderlog.operators import clustering, mining, stability
 from cinderlog.operators import sequences as s
 from cinderlog.operators.aggregation import concatenate
 from cinderlog.operators.header import parse_header
@@ -300,9 +300,11 @@ def stability_charset(spark, sf_dir):
 
 
 def auto_new_value(spark, sf_dir):
-    parsed = parsed_logs(spark, sf_dir)
-    n = parsed.agg(F.max("ord")).first()[0] + 1
-    found = lifecycle.run(d.NewValue("Auto", []), parsed, configure=n // 2, train=n // 4, auto=lambda p: [w for w in lifecycle.choose_variables(p) if w.name == "var_2"])
+    """A header field with a new value for each quarter of the records: stable, so it is watched, and new at the end."""
+    n = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
+    epoch = F.concat(F.lit("v"), F.floor(F.col("ord") * 4 / n).cast("string"))
+    parsed = parsed_logs(spark, sf_dir).withColumn("logFormatVariables", F.map_concat("logFormatVariables", F.create_map(F.lit("Epoch"), epoch)))
+    found = lifecycle.run(d.NewValue("Auto", []), parsed, configure=n // 2, train=n // 4, auto=lambda p: [w for w in lifecycle.choose_variables(p) if w.name in ("Epoch", "Type", "Line")])
     return shown(found)
 
 
@@ -332,6 +334,10 @@ def coarse_groups(spark, sf_dir):
     return out.groupBy("coarse", "fine").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cluster_lines(spark, sf_dir):
+    return clustering.cluster_lines(parse_header(raw_logs(spark, sf_dir), FORMAT).select("ord", F.col("content").alias("log")), chunk=3000).groupBy("chunk", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 def line_words(spark, sf_dir):
     lines = parse_header(raw_logs(spark, sf_dir), FORMAT).select(mining.words(F.col("content")).alias("w"))
     return lines.groupBy(F.array_join("w", " ").alias("words")).agg(F.count(F.lit(1)).alias("n"))
@@ -343,7 +349,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     event_sequence, count_vectors, near_count_vectors, next_event_topk, masked_events,
     ordinals, phase_units, tumbling_windows, sliding_windows, run_lengths, alert_concat,
     stability_means, stability_means_time, stability_classes, stability_range, stability_charset, auto_new_value, seq_length,
-    history_retention, last_template, mine_templates, coarse_groups, line_words,
+    history_retention, last_template, mine_templates, coarse_groups, cluster_lines, line_words,
 ]
 
 
@@ -483,10 +489,10 @@ g as (select l.event, l."name", l.ord, (fl.k is not null)::int changed, sum(coal
   from l left join fl on l.event = fl.event and l."name" = fl."name" and l.ord = fl.ord),
 c as (select event, "name", count(*) n, max(kinds)::bigint kinds, {_MEANS} from (select *, {_COUNTED} s from g) group by all)
 select event, "name", kinds, {_CLASS.format(_STABLE)} "class" from c""",
-    "auto_new_value": f"""with {_FIELDS}, l as (select ord, ev::varchar event, 'var_2' "name", k "value" from e where ord < n // 2), {_SERIES_COUNT},
+    "auto_new_value": f"""with {_FIELDS}, ep as (select *, 'v' || (ord * 4 // n) q from e), l as (select ord, ev::varchar event, 'Epoch' "name", q "value" from ep where ord < n // 2), {_SERIES_COUNT},
 ok as (select event from (select event, {_CLASS.format(_STABLE)} cl from c) where cl in ('STABLE', 'STATIC')),
-m as (select distinct ev, k from e where ord < n // 2 + n // 4), a as (select * from e where ord >= n // 2 + n // 4 and ev::varchar in (select event from ok) and (ev, k) not in (select ev, k from m) and ev in (select ev from m))
-select ord, {_ALERT.format("Auto")}, 1::double score, 'EventID ' || ev || ' - var_2=Unknown value: ''' || k || '''' found from a""",
+m as (select distinct ev, q from ep where ord < n // 2 + n // 4), a as (select * from ep where ord >= n // 2 + n // 4 and ev::varchar in (select event from ok) and (ev, q) not in (select ev, q from m) and ev in (select ev from m))
+select ord, {_ALERT.format("Auto")}, 1::double score, 'EventID ' || ev || ' - Epoch=Unknown value: ''' || q || '''' found from a""",
     "seq_length": f"with {_FIELDS} select max(len)::int length from ({_SEQ_CLASSES}) where class in ('STABLE', 'STATIC')",
     "history_retention": "select event_id ord, event_id::varchar \"logID\" from events where event_id >= (select count(*) from events) - 500",
     "last_template": f"with {_FIELDS} select ev event_id, any_value(ty) || ' by user=<*> value=<*> k=<*>' template from e group by ev",
