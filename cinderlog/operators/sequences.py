@@ -125,7 +125,7 @@ class NearCountVectors(WindowDetector):
 
     validation: the share of training's different vectors, in the order of a hash, that only sets the threshold: the mean
     of their own distances, or 0 ("default"). A model has one row for each different vector, of which windows of `size`
-    records over a few events have few; MODEL_ROWS bounds what is broadcast, and beyond it vectors are joined by blocks.
+    records over a few events have few; different vectors meet it in blocks.
     """
 
     validation: float = 0.2

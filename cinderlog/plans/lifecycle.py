@@ -24,7 +24,7 @@ STATELESS = (Rules, Random)
 
 
 def first_unit_record(detector: Detector | WindowDetector, unit: int) -> int:
-    """The place of the last record of a unit's predecessor, plus 1: where the unit's own part of the input ends before."""
+    """How many records the units before this one are made of."""
     return unit + detector.size - 1 if isinstance(detector, WindowDetector) and unit else unit
 
 
