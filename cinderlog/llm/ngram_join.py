@@ -211,7 +211,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     units = units.select("band", "hash", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "c")
 
     wanted = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "n", F.col("ik").alias("w_ik"), F.col("th").alias("w_th"), "bands")
-    texts = _keyed(docs, key, text).join(wanted, (F.col("ik") == F.col("w_ik")) & (F.col("th") == F.col("w_th")))
+    # wanted grows with the corpus: at no size is it broadcast, so that the plan is one and the same.
+    texts = _keyed(docs, key, text).join(wanted.hint("merge"), (F.col("ik") == F.col("w_ik")) & (F.col("th") == F.col("w_th")))
     texts = texts.groupBy("ik", "th").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("body").alias("text")).drop("ik", "th")
     unit = ["band", "hash", "low", "high"]
     rows_of = units.join(texts, "c").select(*unit, "block", "c", "n", "bands", "text").repartition(*unit).sortWithinPartitions(*unit)
@@ -244,6 +245,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     keyed = docs.withColumns({"_ik": ik, "_th": th})
     on = lambda t: (F.col("_ik") == t["ik"]) & (F.col("_th") == t["th"])
     marks = other.union(again)
-    single = keyed.join(marks, on(marks), "left_anti")
+    single = keyed.join(marks.hint("merge"), on(marks), "left_anti")
     repeated = keyed.join(again, on(again), "left_semi").dropDuplicates(["_ik", "_th"])
     return single.union(repeated).select(*docs.columns)
