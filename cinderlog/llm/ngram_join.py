@@ -158,9 +158,8 @@ def components(edges: DataFrame) -> DataFrame:
     the longest path. Tables of the rounds are written, not kept in executors.
     """
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root"))
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "labels")
     while True:
-        labels = durable(labels, "labels")
         heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard"))
         step = labels.join(heard, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("heard", "root")).alias("next"))
         over = labels.select(F.col("node").alias("via"), F.col("root").alias("further"))
@@ -238,9 +237,9 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
     """docs with one row, that of the least key, of each group of linked documents."""
-    full = near_groups(docs, key, text, threshold, n, recall)
-    other = durable(full.where("ik != first_ik or th != first_th").select("ik", "th").distinct(), "others")
-    again = durable(full.where("ik = first_ik and th = first_th and n_links > 0").groupBy("ik", "th").count().where("count > 1").select("ik", "th"), "again")
+    full = durable(near_groups(docs, key, text, threshold, n, recall), "groups")
+    other = full.where("ik != first_ik or th != first_th").select("ik", "th").distinct()
+    again = full.where("ik = first_ik and th = first_th and n_links > 0").groupBy("ik", "th").count().where("count > 1").select("ik", "th")
     ik, th, _ = _identity(key, text)
     keyed = docs.withColumns({"_ik": ik, "_th": th})
     on = lambda t: (F.col("_ik") == t["ik"]) & (F.col("_th") == t["th"])
