@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from cinderlog.functions.text import as_number, characters
 from cinderlog.plans.config import Watched, watched_variables
+from cinderlog.runtime import durable
 
 #: A segment's mean has to be below its threshold; series shorter than LEAST tell nothing.
 THRESHOLDS, LEAST = (1.1, 0.3, 0.1, 0.01), 3
@@ -20,10 +21,15 @@ SERIES = ("event", "name")
 
 
 def value_changes(rows: DataFrame, *by: str, ordinal: str = "ord") -> DataFrame:
-    """rows with `changed`: a value's first occurrence in its series; `kinds`: how many different values the series has."""
+    """rows with `changed`: a value's first occurrence in its series; `kinds`: how many different values the series has.
+
+    First occurrences are a partial aggregation, and are joined back by value and place, so a series of any length is spread
+    over all tasks. A record has a variable once at most."""
     by = by or SERIES
-    first = F.row_number().over(Window.partitionBy(*by, "value").orderBy(ordinal)) == 1
-    return rows.withColumn("changed", first.cast("int")).withColumn("kinds", F.sum("changed").over(Window.partitionBy(*by)))
+    firsts = rows.groupBy(*by, "value").agg(F.min(ordinal).alias(ordinal)).withColumn("_first", F.lit(1))
+    kinds = firsts.groupBy(*by).agg(F.count(F.lit(1)).alias("kinds"))
+    marked = rows.join(firsts, [*by, "value", ordinal], "left").withColumn("changed", F.coalesce("_first", F.lit(0))).drop("_first")
+    return marked.join(kinds, list(by))
 
 
 def range_changes(rows: DataFrame, *by: str, ordinal: str = "ord") -> DataFrame:
@@ -49,26 +55,45 @@ def charset_changes(rows: DataFrame, *by: str, ordinal: str = "ord") -> DataFram
     return marked.withColumn("kinds", F.coalesce(F.sum("_new").over(Window.partitionBy(*by)), F.lit(0))).drop("_new")
 
 
+def count_cuts(flags: DataFrame, *by: str, ordinal: str = "ord", segments: int = len(THRESHOLDS), block: int = 1 << 16) -> DataFrame:
+    """(by, c1, c2, ...): the place of the record that each segment after the first begins with, by equal counts.
+
+    Places are cut into blocks; block sizes say in which block a cut is, and only those blocks are ranked, `block` records at
+    most to a task."""
+    cells = flags.groupBy(*by, F.floor(F.col(ordinal) / block).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    cells = cells.withColumns({"_from": F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"), "_n": F.sum("_c").over(w)})
+    cuts = cells.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(segments - 1))))
+    cuts = cuts.withColumn("_r", F.floor(F.col("_k") * F.col("_n") / segments) - F.col("_from")).where("_r >= 0 and _r < _c").select(*by, "_b", "_k", "_r")
+    rows = flags.select(*by, ordinal, F.floor(F.col(ordinal) / block).alias("_b")).join(cuts, [*by, "_b"])
+    place = F.row_number().over(Window.partitionBy(*by, "_b", "_k").orderBy(ordinal)) - 1
+    found = rows.withColumn("_i", place).where("_i = _r")
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_k") == k, F.col(ordinal))).alias(f"c{k}") for k in range(1, segments)))
+
+
 def segment_means(flags: DataFrame, *by: str, mode: str = "count", ordinal: str = "ord", time: str | None = None, segments: int = len(THRESHOLDS)) -> DataFrame:
     """(by, n, kinds, m0, m1, ...): a mean for each segment, 0 for an empty one.
 
     mode "time" cuts the series' time span into equal parts, and falls back to equal counts if stamps are missing, not
-    finite or out of order, or all the same.
+    finite or out of order, or all the same. Whether they are in order is seen in one task a series; equal counts aren't.
     """
     by = by or SERIES
-    w, full = Window.partitionBy(*by).orderBy(ordinal), Window.partitionBy(*by)
-    out = flags.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(full)})
-    # Place i is in the last segment k whose start, k * n / segments without its fraction, isn't after i.
-    counted = F.greatest(*(F.when(F.col("_i") >= F.floor(F.lit(k) * F.col("_n") / segments), k).otherwise(0) for k in range(segments)))
-    segment = counted
-    if mode == "time":
+    if mode == "count":
+        out = durable(flags.select(*by, ordinal, "changed", "kinds"), "flags")
+        out = out.join(count_cuts(out, *by, ordinal=ordinal, segments=segments), list(by))
+        segment = F.greatest(F.lit(0), F.lit(0), *(F.when(F.col(ordinal) >= F.col(f"c{k}"), k).otherwise(0) for k in range(1, segments)))
+    elif mode == "time":
+        w, full = Window.partitionBy(*by).orderBy(ordinal), Window.partitionBy(*by)
+        out = flags.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(full)})
+        # Place i is in the last segment k whose start, k * n / segments without its fraction, isn't after i.
+        counted = F.greatest(*(F.when(F.col("_i") >= F.floor(F.lit(k) * F.col("_n") / segments), k).otherwise(0) for k in range(segments)))
         t = F.col(time).cast("double")
         fine = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
         out = out.withColumns({"_t": t, "_bad": ((~fine) | F.coalesce(t < F.lag(t).over(w), F.lit(False))).cast("int")})
         out = out.withColumns({"_odd": F.max("_bad").over(full), "_t0": F.min("_t").over(full), "_t1": F.max("_t").over(full)})
         timed = F.greatest(*(F.when(F.col("_t") >= F.col("_t0") + F.lit(k) * (F.col("_t1") - F.col("_t0")) / segments, k).otherwise(0) for k in range(segments)))
         segment = F.when((F.col("_odd") == 0) & (F.col("_t1") > F.col("_t0")), timed).otherwise(counted)
-    elif mode != "count":
+    else:
         raise ValueError(f"mode: {mode}")
     out = out.withColumn("_s", segment)
     mean = lambda k: F.coalesce(F.avg(F.when(F.col("_s") == k, F.col("changed"))), F.lit(0.0)).alias(f"m{k}")

@@ -186,6 +186,16 @@ def test_stability_of_known_series(spark):
     assert st.classify(st.charset_changes(series(spark, ["ab", "c", "ba", "ab", "a", "a", "a", "a"]))).first()["class"] == st.STABLE
 
 
+def test_cuts_of_equal_counts_in_blocks(spark):
+    rng = random.Random(5)
+    rows = [("0", name, o, "v") for name in "pqr" for o in rng.sample(range(500), {"p": 1, "q": 7, "r": 333}[name])]
+    df = spark.createDataFrame(rows, "event string, name string, ord long, value string")
+    got = {r.name: (r.c1, r.c2, r.c3) for r in st.count_cuts(df, "event", "name", block=16).collect()}
+    for name in "pqr":
+        own = sorted(o for _, x, o, _ in rows if x == name)
+        assert got[name] == tuple(own[k * len(own) // 4] for k in (1, 2, 3))
+
+
 def test_lifecycle_and_auto_configuration(spark):
     rows = [(0, ["k" if i < 90 else f"n{i}", str(i)], {"Level": "ab"[i % 2]}) for i in range(100)]
     parsed = records(spark, rows)
