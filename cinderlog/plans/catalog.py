@@ -223,7 +223,7 @@ def count_vectors(spark, sf_dir):
 
 def near_count_vectors(spark, sf_dir):
     train, test = events_split(spark, sf_dir)
-    det = s.NearCountVectors("Near", 6, validation=0.0, method="default").fit(train.where(F.col("ord") % 1000 < 100))
+    det = s.NearCountVectors("Near", 6, validation=0.0, method="default").fit(train)
     return det.unusual(test).select(F.col("last_ord").alias("ord"), F.round("distance", 9).alias("distance"))
 
 
