@@ -158,7 +158,7 @@ def new_event(spark, sf_dir):
     orders = with_ordinal(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("EventID")), "o_orderkey")
     orders = orders.select("ord", F.col("o_orderkey").cast("string").alias("logID"), "EventID", F.array().cast("array<string>").alias("variables"), F.create_map().cast("map<string,string>").alias("logFormatVariables"))
     train, test = split(orders)
-    det = d.NewEvent("NewEvent", []).fit(train.where(F.col("ord") % 2 == 0))
+    det = d.NewEvent("NewEvent", []).fit(train)
     return shown(det.transform(test))
 
 

@@ -22,3 +22,13 @@ def test_near_count_vectors(spark, sf):
     want = {o: round(far(v), 9) for o, v in vectors(kinds, 6, cut, len(kinds)) if v not in known}
     got = catalog.near_count_vectors(spark, sf).collect()
     assert {r.ord: r.distance for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("sf", [SF, SF.replace("0.001", "0.01")])
+def test_new_event(spark, sf):
+    t = pq.read_table(f"{sf}/orders.parquet", columns=["o_orderkey", "o_custkey"]).sort_by("o_orderkey").to_pydict()
+    customers, cut = t["o_custkey"], len(t["o_custkey"]) * 4 // 5
+    known = set(customers[:cut])
+    want = [(o, f"NewEvent_{10 + i}", str(t["o_orderkey"][o]), f"Unknown event ID: '{customers[o]}'") for i, o in enumerate(o for o in range(cut, len(customers)) if customers[o] not in known)]
+    got = [(r.ord, r.alertID, r.log_ids, r.found.partition("=")[2]) for r in catalog.new_event(spark, sf).orderBy("ord").collect()]
+    assert got == want
