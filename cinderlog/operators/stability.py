@@ -32,17 +32,23 @@ def value_changes(rows: DataFrame, *by: str, ordinal: str = "ord") -> DataFrame:
     return marked.join(kinds, list(by))
 
 
-def range_changes(rows: DataFrame, *by: str, ordinal: str = "ord") -> DataFrame:
+def range_changes(rows: DataFrame, *by: str, ordinal: str = "ord", block: int = 1 << 16) -> DataFrame:
     """Changes of a numeric series: values outside the range so far. Other values are left out. kinds: 1 if the range is a
-    point, else 2."""
+    point, else 2.
+
+    Places are cut into blocks. The range before a block comes from the ranges of those before it, one row each, so that
+    `block` records at most are ordered in a task."""
     by = by or SERIES
-    numeric = rows.withColumn("number", as_number(F.col("value"))).where("number is not null")
-    before = Window.partitionBy(*by).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.min("number").over(before), F.max("number").over(before)
-    changed = F.coalesce((F.col("number") < low) | (F.col("number") > high), F.lit(True))
-    full = Window.partitionBy(*by)
-    kinds = F.when(F.min("number").over(full) == F.max("number").over(full), 1).otherwise(2)
-    return numeric.withColumns({"changed": changed.cast("int"), "kinds": kinds}).drop("number")
+    numeric = rows.withColumns({"_x": as_number(F.col("value")), "_b": F.floor(F.col(ordinal) / block)}).where("_x is not null")
+    series = Window.partitionBy(*by)
+    earlier = series.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = numeric.groupBy(*by, "_b").agg(F.min("_x").alias("_l"), F.max("_x").alias("_h"))
+    kinds = F.when(F.min("_l").over(series) == F.max("_h").over(series), 1).otherwise(2)
+    cells = cells.select(*by, "_b", F.min("_l").over(earlier).alias("_low"), F.max("_h").over(earlier).alias("_high"), kinds.alias("kinds"))
+    before = Window.partitionBy(*by, "_b").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.least("_low", F.min("_x").over(before)), F.greatest("_high", F.max("_x").over(before))
+    changed = F.coalesce((F.col("_x") < low) | (F.col("_x") > high), F.lit(True))
+    return numeric.join(cells, [*by, "_b"]).withColumn("changed", changed.cast("int")).drop("_x", "_b", "_low", "_high")
 
 
 def charset_changes(rows: DataFrame, *by: str, ordinal: str = "ord") -> DataFrame:

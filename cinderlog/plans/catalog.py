@@ -291,8 +291,7 @@ def stability_classes(spark, sf_dir):
 
 
 def stability_range(spark, sf_dir):
-    rows = _series(spark, sf_dir).where("name in ('var_0', 'var_1')")
-    return stability.classify(stability.range_changes(rows)).select("event", "name", "n", "class")
+    return stability.classify(stability.range_changes(_series(spark, sf_dir))).select("event", "name", "n", "class")
 
 
 def stability_charset(spark, sf_dir):
@@ -304,7 +303,7 @@ def auto_new_value(spark, sf_dir):
     n = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
     epoch = F.concat(F.lit("v"), F.floor(F.col("ord") * 4 / n).cast("string"))
     parsed = parsed_logs(spark, sf_dir).withColumn("logFormatVariables", F.map_concat("logFormatVariables", F.create_map(F.lit("Epoch"), epoch)))
-    found = lifecycle.run(d.NewValue("Auto", []), parsed, configure=n // 2, train=n // 4, auto=lambda p: [w for w in lifecycle.choose_variables(p) if w.name in ("Epoch", "Type", "Line")])
+    found = lifecycle.run(d.NewValue("Auto", []), parsed, configure=n // 2, train=n // 4, auto=lifecycle.choose_variables)
     return shown(found)
 
 
