@@ -334,7 +334,7 @@ def coarse_groups(spark, sf_dir):
 
 
 def cluster_lines(spark, sf_dir):
-    return clustering.cluster_lines(parse_header(raw_logs(spark, sf_dir), FORMAT).select("ord", F.col("content").alias("log")), chunk=3000).groupBy("chunk", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return clustering.cluster_lines(parse_header(raw_logs(spark, sf_dir), FORMAT).select("ord", F.col("content").alias("log"))).groupBy("chunk", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 def line_words(spark, sf_dir):
