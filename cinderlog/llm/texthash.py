@@ -68,8 +68,21 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shingle_hashes(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each n words in a row (of all words of a text with fewer), and the number of these of each text."""
     words, count = word_hashes(texts)
+    return _shingles(words, count, np.where(count >= n, count - n + 1, np.minimum(count, 1)), n)
+
+
+def word_grams(texts: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order n, the bucket, of 2 ** bits, of each n words in a row, and the number of these of each text. Texts
+    with fewer words have none; the hash of n words differs with n."""
+    words, count = word_hashes(texts)
+    for n in orders:
+        h, out = _shingles(words, count, np.maximum(count - n + 1, 0), n)
+        yield (h >> U(64 - bits)).astype(np.int64), out
+
+
+def _shingles(words: np.ndarray, count: np.ndarray, out: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the n words, or as many as there are, from each of a text's first `out` words on."""
     start = np.cumsum(count) - count
-    out = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     here = np.repeat(start - (np.cumsum(out) - out), out) + np.arange(out.sum())
     length = np.repeat(np.minimum(count, n), out)
     x = length.astype(U)

@@ -11,6 +11,7 @@ import corpus_pipeline as cp
 from cinderlog.llm import quality
 from test_mixing import brute as brute_mix
 from test_ngram_join import brute as brute_groups
+from test_quality import grams
 
 
 def test_each_stage_against_brute_force(spark):
@@ -20,16 +21,19 @@ def test_each_stage_against_brute_force(spark):
 
     kept = cp.quality(spark, docs, SF)
     assert kept.columns == docs.columns
-    half = {(r.label_key, r.good, r.fit) for r in quality.labelled(labels, "doc_id", "quality", 10**6).collect()}
-    grams = {i: np.array([int.from_bytes(raw[k : k + 4], "little") * 0x9E3779B97F4A7C15 % 2**64 >> 48 for k in range(len(raw) - 3)], int) for i, raw in ((i, r.text.encode()) for i, r in rows.items())}
-    raw = np.bincount(np.concatenate(list(grams.values())), minlength=1 << 16)
-    good = np.bincount(np.concatenate([grams[i] for i, g, f in half if g and f]), minlength=1 << 16)
+    half = {r.label_key: (r.good, r.fit) for r in quality.labelled(labels, "doc_id", "quality", 10**6).collect()}
+    own = {i: np.array(grams(r.text), int) for i, r in rows.items()}
+    raw = np.bincount(np.concatenate(list(own.values())), minlength=1 << quality.BITS)
+    good = np.bincount(np.concatenate([own[i] for i, (g, f) in half.items() if g and f]), minlength=1 << quality.BITS)
     expected = good.sum() * raw / raw.sum()
     ratio = np.where(abs(good - expected) < 3 * np.sqrt(expected + 1), 0, np.log((good + 1) / (expected + 1)))
-    weight = {i: ratio[g].sum() for i, g in grams.items()}
-    threshold = np.quantile([weight[i] for i, g, f in half if g and not f], 1 - quality.KEEP_GOOD, method="lower")
+    mean = {i: ratio[g].mean() if len(g) else 0.0 for i, g in own.items()}
+    held = [(mean[i], g == 1) for i, (g, f) in half.items() if not f]
+    slope, shift = quality.scale(np.array([m for m, _ in held]), np.array([g for _, g in held]))
+    weight = {i: slope * m + shift for i, m in mean.items()}
+    level = quality.level_for(np.array([slope * m + shift for m, g in held if g]), quality.KEEP_GOOD)
+    k = round(sum(1 - np.exp(-np.exp(min(w - level, 50))) for w in weight.values()))
     noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(F.col("doc_id"), 9).alias("g")).collect()}
-    k = sum(w >= threshold - 1e-6 for w in weight.values())
     first = sorted(rows, key=lambda i: -(weight[i] + noise[i]))[:k]
     ids = sorted(r.doc_id for r in kept.collect())
     assert ids == sorted(first)
