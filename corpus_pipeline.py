@@ -1,6 +1,13 @@
 """From raw documents to token ids: quality classifier, near-duplicates, source mix, byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return docs' own
+columns, whatever their names.
+
+Edge cases, in every stage: a null text counts as the empty one; rows with null keys or sources are documents as any other;
+an empty table gives an empty table; very long texts are worked on whole. Stage by stage: texts without words have an
+average weight in `quality`; they are one group in `near_duplicates`, as are rows equal in key and text; `source_mix` takes
+no text without words, and rows equal in key stay or go together; `token_ids` gives no ids for an empty text, and a row for
+each row.
 """
 
 from __future__ import annotations
@@ -12,14 +19,13 @@ from pyspark.sql import functions as F
 from cinderlog.llm.bpe import Bpe, n_ids
 from cinderlog.llm.mixing import mixed_documents
 from cinderlog.llm.ngram_join import one_of_each
-from cinderlog.llm.quality import fit, resample
+from cinderlog.llm.quality import fit, resampled
 from cinderlog.runtime import durable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling towards good labelled text keeps."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return resample(docs, model)[0].where("keep").select(*docs.columns)
+    return resampled(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
