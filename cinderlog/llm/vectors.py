@@ -2,38 +2,49 @@
 
 Components x become floor(256 * x). A vector x of norm n goes to the point (x, sqrt(M - n^2)), M being the largest squared
 norm, and a query q to (q, 0): then |q' - x'|^2 = |q|^2 + M - 2 q.x, so the highest scores are the nearest points. Each point
-is keyed by its nearest pivot and its distance from it, cut into annuli (rings) around the pivot. A query visits cells
-(pivot, ring) in ascending order of the least distance that the triangle inequality allows there: first as many as hold
-FIRST points, which gives its k-th best distance so far, then those, and only those, whose bound doesn't exceed it. Scores
-are integers and exact; bounds are widened by rounding errors' size.
+is keyed by its nearest pivot and its distance from it, cut into annuli (rings) around the pivot. Of each cell (pivot, ring)
+the index has the count, the greatest norm, and the least and greatest distance to every pivot. By the triangle inequality
+each pivot bounds how near a query a cell's points can be; the strictest of these bounds, and the product of the norms, bound
+their scores. A query visits cells in the order of these bounds: first as many as hold FIRST points, which gives its k-th
+best score so far, then those, and only those, whose bound reaches it. In a cell, points stand in the order of their distance
+from the pivot, and a query reads only the annulus that its k-th best distance leaves. Scores are integers and exact; bounds
+are widened by rounding errors' size.
 
 The pivots and rings are fitted on at most SAMPLE vectors, in the order of a hash of their ids; every vector is indexed. The
-driver holds the pivots and the cells' counts (PIVOTS x RINGS numbers). A cell of more than UNIT points is dealt to several
-tasks by a hash. Queries are moved to the cells that they visit; no task holds more than one unit's points and a batch of
-queries.
+driver holds the pivots and the cells' figures (PIVOTS ^ 2 x RINGS numbers). Small cells of one pivot share a unit of work; a
+cell of more points than a unit is dealt to several, row by row, so that equal rows are spread too. The queries that visit a
+unit are cut into blocks; no task holds more than a unit's points and a batch of queries.
+
+How much the bounds save is up to the vectors: where these lie in clusters, most pairs are never scored; where they spread
+evenly over many dimensions, all distances are alike, no bound by distances holds anything off, and every pair is scored, in
+blocks. `stats` tells.
 
 Edge cases: vectors that are null, or hold a null, NaN or infinity, take no part, nor do null ids; shorter vectors count as
 filled up with zeros; an empty vector is all zeros; rows that repeat an id are candidates each, and one query (the least
-vector); scores beyond 64 bits become the nearest number that fits.
+vector); scores beyond 64 bits become the nearest number that fits; ids are whole numbers (others are an error). Columns
+other than the two named are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinderlog.llm.texthash import mix
 from cinderlog.runtime import durable, on_workers
 
-PIVOTS, RINGS, SAMPLE, UNIT, FIRST = 64, 8, 8192, 4096, 512
+PIVOTS, RINGS, SAMPLE, FIRST = 64, 8, 8192, 512
+#: Of a unit of work: points and their bytes, and queries of a block.
+UNIT, UNIT_BYTES, BLOCK = 8192, 16 << 20, 8192
 EXACT = 2.0**53
-UNIT_SCHEMA = "cell int, sub int, query boolean, id long, v binary"
+UNIT_SCHEMA = "unit int, sub int, block int, query boolean, id long, v binary, d double"
 
 
 @dataclass
@@ -42,19 +53,30 @@ class Index:
     exact: bool  # whether inner products fit in doubles without rounding
     level: float  # M
     pivots: np.ndarray  # (pivots, width + 1)
-    inner: np.ndarray  # (pivots, rings): least distance of each ring
-    outer: np.ndarray  # and greatest
-    counts: np.ndarray  # points of each cell, in the order of pivots and rings
-    unit: int
-
-    @property
-    def subs(self) -> np.ndarray:
-        return np.maximum(1, -(-self.counts // self.unit))
+    inner: np.ndarray  # (pivots, rings): where each ring begins
+    unit: int  # most points of a unit
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each cell, in the order of pivots and rings
+    norms: np.ndarray = field(default_factory=lambda: np.zeros(0))  # greatest norm of each cell
+    low: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # (cells, pivots): least distance
+    high: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # and greatest
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # first cell of each unit
 
     @property
     def slack(self) -> float:
         return 1e-6 * math.sqrt(self.level + 1)
 
+    @property
+    def sizes(self) -> np.ndarray:
+        """Points of each unit."""
+        return np.add.reduceat(self.counts, self.starts)
+
+    @property
+    def subs(self) -> np.ndarray:
+        return np.maximum(1, -(-self.sizes // self.unit))
+
+    def unit_of_cell(self) -> np.ndarray:
+        return np.searchsorted(self.starts, np.arange(len(self.counts)), "right") - 1
+
 
 def lift(v: np.ndarray, level: float) -> np.ndarray:
     return np.concatenate((v, np.sqrt(np.maximum(level - (v * v).sum(1), 0))[:, None]), 1)
@@ -106,65 +128,143 @@ def fit(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample: in
     for k in range(len(centres)):
         own = d[near == k, k]
         inner[k, 1:] = np.quantile(own, np.arange(1, rings) / rings) if len(own) else 0.0
-    outer = np.concatenate((inner[:, 1:], np.full((len(centres), 1), np.inf)), 1)
-    return Index(width, level < EXACT, level, centres, inner, outer, np.zeros(len(centres) * rings, np.int64), unit)
-
-
-def cells_of(index: Index, v: np.ndarray) -> np.ndarray:
-    d = distances(lift(v, index.level), index.pivots)
-    pivot = d.argmin(1)
-    own = d[np.arange(len(v)), pivot]
-    ring = (own[:, None] >= index.inner[pivot]).sum(1) - 1
-    return pivot * index.inner.shape[1] + np.maximum(ring, 0)
+    return Index(width, level < EXACT, level, centres, inner, max(1, min(unit, UNIT_BYTES // (8 * max(width, 1)))))
 
 
 def keyed(vectors: DataFrame, index: Index) -> DataFrame:
-    """(cell, id, v) of every vector."""
+    """(cell, n, id, v, d) of every vector: n numbers the rows of a task, d is the distance from the nearest pivot."""
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i = shared.value
+        i, at = shared.value, 0
         for x in batches:
             full = pa.array([b.ljust(8 * i.width, b"\0") for b in x.column(1).to_pylist()], pa.binary())
-            cell = cells_of(i, _stack(full, i.width)) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), x.column(0), full], ["cell", "id", "v"])
+            d = distances(lift(_stack(full, i.width), i.level), i.pivots)
+            pivot = d.argmin(1) if len(x) else np.zeros(0, np.int64)
+            own = d[np.arange(len(x)), pivot]
+            cell = pivot * i.inner.shape[1] + np.maximum((own[:, None] >= i.inner[pivot]).sum(1) - 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.arange(at, at + len(x))), x.column(0), full, pa.array(own)], ["cell", "n", "id", "v", "d"])
+            at += len(x)
+
+    return vectors.select("id", "v").mapInArrow(key, "cell int, n long, id long, v binary, d double")
 
-    return vectors.select("id", "v").mapInArrow(key, "cell int, id long, v binary")
+
+def measured(index: Index, cells: DataFrame) -> Index:
+    """The index with its cells' figures, of all vectors: each task gives one row a cell, which are combined before they are
+    shuffled, and one row a cell reaches the driver."""
+    shared, pivots = cells.sparkSession.sparkContext.broadcast(index), len(index.pivots)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i = shared.value
+        many = i.inner.size
+        count, norm = np.zeros(many, np.int64), np.zeros(many)
+        low, high = np.full((many, pivots), np.inf), np.full((many, pivots), -np.inf)
+        for x in batches:
+            cell, v = x.column(0).to_numpy(), _stack(x.column(1), i.width)
+            d = distances(lift(v, i.level), i.pivots)
+            count += np.bincount(cell, minlength=many)
+            np.maximum.at(norm, cell, np.sqrt((v * v).sum(1)))
+            np.minimum.at(low, cell, d)
+            np.maximum.at(high, cell, d)
+        some = np.flatnonzero(count)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(m[some].ravel()), pivots).cast(pa.list_(pa.float64())) for m in (low, high)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some]), pa.array(norm[some]), *lists], ["cell", "n", "norm", "low", "high"])
+
+    rows = cells.select("cell", "v").mapInArrow(measure, "cell int, n long, norm double, low array<double>, high array<double>")
+    of = lambda f, name: F.array(*(f(F.get(name, F.lit(p))) for p in range(pivots))).alias(name)
+    many = index.inner.size
+    index.counts, index.norms = np.zeros(many, np.int64), np.zeros(many)
+    index.low, index.high = np.full((many, pivots), np.inf), np.full((many, pivots), -np.inf)
+    for r in rows.groupBy("cell").agg(F.sum("n").alias("n"), F.max("norm").alias("norm"), of(F.min, "low"), of(F.max, "high")).collect():
+        index.counts[r.cell], index.norms[r.cell], index.low[r.cell], index.high[r.cell] = r.n, r.norm, r.low, r.high
+    # Rings of one pivot share a unit as long as their points fit in it.
+    starts, held = [], 0
+    for c in range(many):
+        if c % index.inner.shape[1] == 0 or held + index.counts[c] > index.unit:
+            starts.append(c)
+            held = 0
+        held += index.counts[c]
+    index.starts = np.array(starts, np.int64)
+    return index
 
 
 def _bounds(index: Index, q: np.ndarray) -> np.ndarray:
-    """(queries, cells): the least distance that a point of each cell can have; infinite for empty cells."""
-    d = distances(np.concatenate((q, np.zeros((len(q), 1))), 1), index.pivots)[:, :, None]
-    low = np.maximum(np.maximum(d - index.outer, index.inner - d), 0).reshape(len(q), -1)
-    low[:, index.counts == 0] = np.inf
-    return low
+    """(queries, cells): a score that no point of the cell exceeds; -inf for empty cells."""
+    d = distances(np.concatenate((q, np.zeros((len(q), 1))), 1), index.pivots)
+    near = np.zeros((len(q), len(index.counts)))
+    for p in range(len(index.pivots)):
+        np.maximum(near, d[:, p, None] - index.high[None, :, p], out=near)
+        np.maximum(near, index.low[None, :, p] - d[:, p, None], out=near)
+    square = (q * q).sum(1)[:, None]
+    near = np.where(np.isfinite(near), np.maximum(near - index.slack, 0), 0)
+    best = np.minimum((square + index.level - near * near) / 2, np.sqrt(square) * index.norms) + 1e-9 * (square + index.level + 1)
+    best[:, index.counts == 0] = -np.inf
+    return best
+
+
+def chosen(index: Index, q: np.ndarray, first: int, kth: np.ndarray | None) -> np.ndarray:
+    """(queries, units): whether a query visits a unit: one of the cells with the best bounds, up to `first` points, or, with
+    kth (each query's k-th best score so far), one of the others whose bound reaches that."""
+    best = _bounds(index, q)
+    order = np.argsort(-best, 1, kind="stable")
+    held = np.cumsum(index.counts[order], 1) - index.counts[order]
+    early = np.zeros(best.shape, bool)
+    np.put_along_axis(early, order, held < first, 1)
+    early = np.logical_or.reduceat(early & np.isfinite(best), index.starts, 1)
+    if kth is None:
+        return early
+    return ~early & np.logical_or.reduceat(np.isfinite(best) & (best >= kth[:, None]), index.starts, 1)
+
+
+def _kth(column: pa.Array) -> np.ndarray:
+    """Scores as doubles; -inf for none, and for the least number, which may stand for any below."""
+    kth = column.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+    return np.where(np.isnan(kth) | (kth <= -(2.0**63)), -np.inf, kth)
+
+
+def _batches(x: pa.RecordBatch, width: int, size: int = 256):
+    for at in range(0, len(x), size):
+        part = x.slice(at, size)
+        yield part, _stack(part.column(1), width)
+
+
+def visit_counts(queries: DataFrame, shared, first: int, second: bool) -> np.ndarray:
+    """How many queries visit each unit."""
+    units = len(shared.value.starts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, n = shared.value, np.zeros(units, np.int64)
+        for x in batches:
+            for part, q in _batches(x, i.width):
+                n += chosen(i, q, first, _kth(part.column(2)) if second else None).sum(0)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["unit", "n"])
+
+    out = np.zeros(units, np.int64)
+    for r in queries.select("id", "v", "kth").mapInArrow(count, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect():
+        out[r.unit] = r.n
+    return out
 
 
-def visits(queries: DataFrame, index: Index, first: int, second: bool) -> DataFrame:
-    """Each query once for each unit that it visits: the cells with the least bounds, or, second, the others whose bound
-    doesn't exceed the query's distance `far`."""
-    shared = queries.sparkSession.sparkContext.broadcast(index)
+def visits(queries: DataFrame, shared, first: int, second: bool, blocks: np.ndarray) -> DataFrame:
+    """Each query once for each part of a unit that it visits, with the distance beyond which nothing concerns it."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = shared.value
         subs = i.subs
         for x in batches:
-            for at in range(0, len(x), 64):
-                part = x.slice(at, 64)
-                low = _bounds(i, _stack(part.column(1), i.width))
-                order = np.argsort(low, 1, kind="stable")
-                held = np.cumsum(i.counts[order], 1) - i.counts[order]
-                early = np.zeros(low.shape, bool)
-                np.put_along_axis(early, order, held < first, 1)
-                early &= np.isfinite(low)
-                if second:
-                    early = ~early & np.isfinite(low) & (low <= part.column(2).to_numpy()[:, None] + i.slack)
-                q, cell = np.nonzero(early)
-                q, cell = np.repeat(q, subs[cell]), np.repeat(cell, subs[cell])
-                sub = np.arange(len(cell)) - np.maximum.accumulate(np.where((np.diff(cell, prepend=-1) != 0) | (np.diff(q, prepend=-1) != 0), np.arange(len(cell)), 0))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(np.ones(len(q), bool)), part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q))], ["cell", "sub", "query", "id", "v"])
-
-    return queries.mapInArrow(route, UNIT_SCHEMA)
+            for part, q in _batches(x, i.width):
+                kth = _kth(part.column(2)) if second else np.full(len(q), -np.inf)
+                far = np.sqrt(np.maximum((q * q).sum(1) + i.level - 2 * kth, 0)) + i.slack
+                row, unit = np.nonzero(chosen(i, q, first, kth if second else None))
+                block = mix(part.column(0).to_numpy().astype(np.uint64))[row] % blocks[unit].astype(np.uint64)
+                n = subs[unit]
+                row, unit, block = np.repeat(row, n), np.repeat(unit, n), np.repeat(block, n)
+                sub = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                columns = [pa.array(unit.astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.ones(len(row), bool)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(far[row])]
+                yield pa.RecordBatch.from_arrays(columns, ["unit", "sub", "block", "query", "id", "v", "d"])
+
+    return queries.select("id", "v", "kth").mapInArrow(route, UNIT_SCHEMA)
 
 
 def scores(q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
@@ -174,27 +274,30 @@ def scores(q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
     return np.clip(whole_(q) @ whole_(v).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _scan(index_of, k: int):
-    def best(data: list[pa.RecordBatch], asked: pa.RecordBatch) -> pa.RecordBatch:
-        i = index_of.value
+def _scan(shared, k: int):
+    def best(unit: int, data: list[pa.RecordBatch], asked: pa.RecordBatch) -> pa.RecordBatch:
+        i = shared.value
         t = pa.Table.from_batches(data)
-        ids, v = t.column("id").to_numpy(), _stack(t.column("v").combine_chunks(), i.width)
-        order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
-        own = asked.column("id").to_numpy()
+        ids, v, d = t.column("id").to_numpy(), _stack(t.column("v").combine_chunks(), i.width), t.column("d").to_numpy()
+        order = np.lexsort((ids, d))
+        ids, v, d = ids[order], v[order], d[order]
+        q, own, far = _stack(asked.column("v"), i.width), asked.column("id").to_numpy(), asked.column("d").to_numpy()
+        from_pivot = distances(np.concatenate((q, np.zeros((len(q), 1))), 1), i.pivots[i.starts[unit] // i.inner.shape[1]][None])[:, 0]
+        # Scores below a query's k-th best so far, less what rounding may have moved it, needn't leave the task.
+        least = ((q * q).sum(1) + i.level - far * far) / 2 - 1
         found: list[list] = [[], [], []]
-        q = _stack(asked.column("v"), i.width)
-        for at in range(0, len(own), 256):
-            s = scores(q[at : at + 256], v, i.exact)
-            for r, row in enumerate(s):
-                here = np.flatnonzero(ids != own[at + r])
+        # Queries of like distance from the pivot read one slice of the points.
+        for some in np.array_split(np.argsort(from_pivot, kind="stable"), -(-len(own) // 128)):
+            lo = np.searchsorted(d, (from_pivot[some] - far[some]).min() - i.slack)
+            hi = np.searchsorted(d, (from_pivot[some] + far[some]).max() + i.slack, "right")
+            for r, row in zip(some, scores(q[some], v[lo:hi], i.exact), strict=True):
+                here = np.flatnonzero((ids[lo:hi] != own[r]) & (row >= least[r]))
                 if len(here) > k:
                     kth = np.partition(row[here], len(here) - k)[len(here) - k]
                     here = here[row[here] >= kth]
-                # Ids ascend already, so a stable sort leaves ties to the smaller one.
-                here = here[np.argsort(~row[here], kind="stable")][:k]
-                found[0] += [own[at + r]] * len(here)
-                found[1] += ids[here].tolist()
+                here = here[np.lexsort((ids[lo:hi][here], ~row[here]))][:k]
+                found[0] += [own[r]] * len(here)
+                found[1] += ids[lo:hi][here].tolist()
                 found[2] += row[here].tolist()
         return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["query_id", "vec_id", "score"])
 
@@ -202,65 +305,65 @@ def _scan(index_of, k: int):
         """Rows come sorted by unit, each unit's points before its queries."""
         data, now = [], None
         for x in batches:
-            key = np.stack([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "sub", "query")], 1)
+            key = np.stack([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("unit", "sub", "block", "query")], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(x)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
-                if tuple(key[lo][:2]) != now:
-                    data, now = [], tuple(key[lo][:2])
+                if tuple(key[lo][:3]) != now:
+                    data, now = [], tuple(key[lo][:3])
                 part = x.slice(lo, hi - lo)
-                if not key[lo][2]:
+                if not key[lo][3]:
                     data.append(part)
                 elif data:
-                    yield best(data, part)
+                    yield best(int(key[lo][0]), data, part)
 
     return scan
 
 
-def search(df: DataFrame, asked: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", index: Index | None = None, first: int = FIRST) -> DataFrame:
+def _lookup(values: np.ndarray, at: Column) -> Column:
+    """A number for each of the index's cells or units: a table of a fixed size."""
+    return F.get(F.array(*(F.lit(int(x)) for x in values)), at)
+
+
+def search(df: DataFrame, asked: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", index: Index | None = None, first: int = FIRST, block: int = BLOCK, stats: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector of asked, the k of df, but for those of its own id, with the
-    highest scores, ties to the smaller id; fewer if df has fewer."""
+    highest scores, ties to the smaller id; fewer if df has fewer.
+
+    stats: gets `pairs`, of queries and vectors, and `met`, those that meet in a unit, at most which are scored."""
     spark = df.sparkSession
     points = durable(whole(df, key, vector), "vectors")
     index = index or fit(points)
     cells = durable(keyed(points, index), "cells")
-    for r in cells.groupBy("cell").count().collect():
-        index.counts[r.cell] = r["count"]
-    # One number for each cell: a table as large as the index's fixed number of cells.
-    subs = F.get(F.array(*(F.lit(int(s)) for s in index.subs)), F.col("cell"))
-    data = cells.select("cell", F.pmod(F.xxhash64("id", "v"), subs).cast("int").alias("sub"), F.lit(False).alias("query"), "id", "v")
+    index = measured(index, cells)
+    unit = _lookup(index.unit_of_cell(), F.col("cell")).cast("int")
+    data = cells.select(unit.alias("unit"), "n", "id", "v", "d")
     queries = whole(asked, key, vector).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("q")).select("id", "q.*")
-    queries = durable(queries.select("id", F.unhex(F.rpad(F.hex("v"), 16 * index.width, "0")).alias("v"), "norm"), "queries")
-    most = queries.agg(F.max("norm")).first()[0] or 0.0
-    index.exact = max(index.level, most) < EXACT
+    queries = durable(queries.select("id", F.unhex(F.rpad(F.hex("v"), 16 * index.width, "0")).alias("v"), "norm", F.lit(None).cast("long").alias("kth")), "queries")
+    many, most = queries.agg(F.count(F.lit(1)), F.max("norm")).first()
+    index.exact = max(index.level, most or 0.0) < EXACT
     shared = spark.sparkContext.broadcast(index)
-
-    def scanned(some: DataFrame, name: str) -> DataFrame:
-        units = data.union(some).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "query")
+    if stats is not None:
+        stats |= {"pairs": many * int(index.counts.sum()), "met": 0}
+
+    def scanned(some: DataFrame, second: bool, name: str) -> DataFrame:
+        count = visit_counts(some, shared, first, second)
+        if stats is not None:
+            stats["met"] += int(count @ index.sizes)
+        blocks = -(-count // block)
+        sub = F.pmod(F.col("n"), _lookup(index.subs, F.col("unit"))).cast("int").alias("sub")
+        copies = F.explode(F.sequence(F.lit(0), _lookup(blocks, F.col("unit")).cast("int") - 1)).alias("block")
+        visited = data.where(_lookup(blocks, F.col("unit")) > 0).select("unit", sub, copies, F.lit(False).alias("query"), "id", "v", "d")
+        part = ["unit", "sub", "block"]
+        units = visited.union(visits(some, shared, first, second, np.maximum(blocks, 1))).repartition(*part).sortWithinPartitions(*part, "query")
         return durable(units.mapInArrow(_scan(shared, k), "query_id long, vec_id long, score long"), name)
 
-    early = scanned(visits(queries, index, first, False), "early")
-    kth = ranked(early, k).where(F.col("rank") == k).select(F.col("query_id").alias("kq"), F.col("score").alias("kth"))
-    far = queries.join(kth, F.col("id") == F.col("kq"), "left").select("id", "v", "kth").mapInArrow(_far(shared), "id long, v binary, far double")
-    late = scanned(visits(far, index, first, True), "late")
+    early = scanned(queries, False, "early")
+    kth = ranked(early, k).where(F.col("rank") == k).select(F.col("query_id").alias("kq"), F.col("score").alias("s"))
+    late = scanned(queries.join(kth, F.col("id") == F.col("kq"), "left").select("id", "v", F.col("s").alias("kth")), True, "late")
     return ranked(early.union(late), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _far(shared):
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distance of each query's k-th best point so far; infinite if it hasn't met k."""
-        i = shared.value
-        for x in batches:
-            q = _stack(x.column(1), i.width)
-            kth = x.column(2).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
-            kth = np.where(kth <= -(2.0**63), np.nan, kth)  # may stand for any number below
-            d = np.sqrt(np.maximum((q * q).sum(1) + i.level - 2 * kth, 0))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.where(np.isnan(d), np.inf, d))], ["id", "v", "far"])
-
-    return far
