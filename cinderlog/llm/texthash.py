@@ -98,6 +98,6 @@ def byte_grams(texts: pa.Array, n: int, bits: int) -> tuple[np.ndarray, np.ndarr
     out = np.maximum(np.diff(at) - n + 1, 0)
     here = np.repeat(at[:-1] - (np.cumsum(out) - out), out) + np.arange(out.sum())
     wide = np.zeros(max(len(raw) - n + 1, 0), U)
-    for i in range(n):
+    for i in range(n if len(wide) else 0):
         wide |= raw[i : len(raw) - n + 1 + i].astype(U) << U(8 * i)
     return ((wide[here] * U(_BASE)) >> U(64 - bits)).astype(np.int64), out

@@ -1,16 +1,24 @@
 """URL filters: rules for hosts and paths, and for all other URLs a logistic regression on hashed character n-grams.
 
 The model is trained on the driver from a small labelled URL table (a list of (url, label) that the caller passes), by
-Newton's method on n-grams of host and path, and broadcast: 2 ** BITS weights, whatever the corpus.
+Newton's method on n-grams of host and path, and broadcast: 2 ** BITS weights, whatever the corpus. labelled_urls.txt beside
+this module is such a table: sites of many kinds, countries and tongues on one side, gambling, adult, pills, pirated software,
+swindles, trackers and link farms on the other, with words that look alike on both.
+
+A table holds as many URLs to block as others, a crawl doesn't: the intercept is shifted so that a URL whose n-grams tell
+nothing is blocked with probability `prior`.
 
 Edge cases: a null URL, or one without `://`, has empty host and path; no rule fits an empty host; the model judges it as
-any other. Equal URLs get equal verdicts.
+any other. Equal URLs get equal verdicts, and repeated rows stay. Very long URLs are read whole. Columns of other names stay,
+equal names are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,30 +26,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.llm.names import fresh
 from cinderlog.llm.texthash import byte_grams
 from cinderlog.runtime import on_workers
 
-GRAMS, BITS, PENALTY = (3, 4, 5), 15, 0.01
-#: The labelled URL table. Words of hosts or paths that a crawl leaves out, and of ones that it takes; each
-#: makes a few URLs of either kind (labelled_urls).
-BLOCKED_WORDS = "casino online-casino casino-bonus mega-casino big-win poker slots jackpot betting bets free-bets sports-bets roulette lottery win-cash pills cheap-pills diet-pills pharmacy viagra meds adult adult-videos xxx porn sex adult-x escort nude spam spam-farm link-farm ads adserver ads-track tracker clicktrack popup malware warez torrent crack keygen replica cheap-watches payday-loans get-rich win-prizes free-money".split()
-ALLOWED_WORDS = "news weather library museum university school history science garden recipes travel music theatre football city council journal review research health clinic kitchen forum docs wiki archive photos maps radio books poetry nature energy transport market workshop studio streton valence gartner lumiere ciudad noticias verein schule ecole bibliotheque jardin".split()
-#: Syllables of names that mean nothing, of which most hosts are made; these are hosts that a crawl takes.
-SYLLABLES = "th er in an re on at en ti es or st al ar ing ed le de ra no".split()
+GRAMS, BITS, PENALTY, PRIOR = (3, 4, 5), 16, 0.01, 0.1
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 to block, 0 to allow), a few for each word, alike but for it."""
-    tops, tongues, starts = ("com", "net", "org"), ("en", "de", "fr", "es"), ("", "www.", "blog.", "m.")
-    out = []
-    plain = ["".join(SYLLABLES[(k * step) % len(SYLLABLES)] for step in (1, 7, 3)[: 2 + k % 2]) for k in range(1, 101)]
-    for label, names in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS + plain)):
-        for k, name in enumerate(names):
-            for i in range(3):
-                host = f"{starts[(k + i) % 4]}{name}.example.{tops[(k + i) % 3]}"
-                page = (f"{37 * k + i}", f"{37 * k + i}.html", f"{name}-{k + i}/")[(k + i) % 3]
-                out.append((f"http{'s' * (i % 2)}://{host}/{tongues[(k + 2 * i) % 4]}/{page}", label))
-    return out
+    """(url, 1 to block, 0 to allow) of the table beside this module."""
+    text = Path(__file__).with_name("labelled_urls.txt").read_text(encoding="utf-8")
+    rows = (line.split() for line in text.splitlines() if line and line[0] in "+-")
+    return [(url, int(sign == "-")) for sign, url in rows]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -86,7 +82,7 @@ def logits(weights: np.ndarray, host: pa.Array, path: pa.Array) -> np.ndarray:
     return total + own / np.sqrt(np.maximum(size, 1))
 
 
-def train(labelled: list[tuple[str, int]]) -> np.ndarray:
+def train(labelled: list[tuple[str, int]], prior: float = PRIOR) -> np.ndarray:
     """Weights of the buckets, then the intercept. ValueError unless both labels occur."""
     import re
 
@@ -95,11 +91,15 @@ def train(labelled: list[tuple[str, int]]) -> np.ndarray:
     rest = [u.partition("://")[2] for u, _ in labelled]
     host = pa.array([re.match("[^/?#]*", r)[0].lower() for r in rest])
     path = pa.array([re.match("[^/?#]*([^?#]*)", r)[1] for r in rest])
-    x = np.zeros((len(rest), (1 << BITS) + 1))
-    size = np.zeros(len(rest))
+    parts, size = [], np.zeros(len(rest))
     for bucket, count in _features(host, path):
-        np.add.at(x, (np.repeat(np.arange(len(rest)), count), bucket), 1.0)
+        parts.append((np.repeat(np.arange(len(rest)), count), bucket))
         size += count
+    row, bucket = (np.concatenate(p) for p in zip(*parts, strict=True))
+    # Only the n-grams that the table has: those are few beside 2 ** BITS.
+    used, column = np.unique(bucket, return_inverse=True)
+    x = np.zeros((len(rest), len(used) + 1))
+    np.add.at(x, (row, column), 1.0)
     x[:, :-1] /= np.sqrt(np.maximum(size, 1))[:, None]
     x[:, -1] = 1.0
     y = np.array([label for _, label in labelled], float)
@@ -109,21 +109,28 @@ def train(labelled: list[tuple[str, int]]) -> np.ndarray:
         p = 1 / (1 + np.exp(-k @ a))
         s = np.maximum(p * (1 - p), 1e-6)
         a = np.linalg.solve(k + PENALTY * np.diag(1 / s), k @ a + (y - p) / s)
-    return x.T @ a
+    weights, own = np.zeros((1 << BITS) + 1), x.T @ a
+    weights[used], weights[-1] = own[:-1], own[-1]
+    weights[-1] += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
+    return weights
 
 
-def judge(df: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]], url: str = "url", cut: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]], url: str = "url", cut: float = 0.5, prior: float = PRIOR) -> DataFrame:
     """df with host, path, rule, verdict (the rule's, else block where the model's probability is cut or more) and
-    block_probability. Equal names are replaced."""
+    block_probability. Equal names are replaced, save for url itself, which is read first."""
     on_workers(df.sparkSession)
-    weights = df.sparkSession.sparkContext.broadcast(train(labelled))
+    weights = df.sparkSession.sparkContext.broadcast(train(labelled, prior))
 
     def batches(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for host, path in it:
             yield pa.array(1 / (1 + np.exp(-logits(weights.value, host, path))), pa.float64())
 
+    names = ["host", "path", "rule", "verdict", "block_probability"]
+    kept = [c for c in df.columns if c.lower() not in names]
+    h, p, r, b = fresh(df, "h", "p", "r", "b")
     host, path = host_and_path(F.col(url))
-    out = df.withColumns({"host": host, "path": path})
-    out = out.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("block_probability", F.arrow_udf("double")(batches)("host", "path"))
-    learnt = F.when(F.col("block_probability") >= cut, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", learnt)}).drop("_rule")
+    out = df.withColumns({h: host, p: path})
+    out = out.withColumn(r, rule_of(F.col(h), F.col(p), rules)).withColumn(b, F.arrow_udf("double")(batches)(h, p))
+    learnt = F.when(F.col(b) >= cut, F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.coalesce(F.col(f"{r}.verdict"), learnt)
+    return out.select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.col(f"{r}.rule").alias("rule"), verdict.alias("verdict"), F.col(b).alias("block_probability"))
