@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinderlog.llm.names import fresh
 from cinderlog.runtime import durable
 
 #: Buckets of a shard in which places are counted side by side.
@@ -43,11 +44,12 @@ def with_shards(df: DataFrame, key: str, weights: list[float], shard: str = "sha
     if not weights or min(*weights, more) <= 0:
         raise ValueError("weights: one number above 0 for each shard")
     equal = len({*weights, more}) == 1
-    out = df.withColumn("_best", shard_of(F.col(key), weights, equal))
+    best, extra = fresh(df, "best", "extra")
+    out = df.withColumn(best, shard_of(F.col(key), weights, equal)).withColumn(extra, _score(F.col(key), F.lit(len(weights)), None if equal else F.lit(float(more))))
+    made = {shard: F.col(f"{best}.shard").cast("int")}
     if grown:
-        extra = _score(F.col(key), F.lit(len(weights)), None if equal else F.lit(float(more)))
-        out = out.withColumn(grown, F.when(extra > F.col("_best.score"), len(weights)).otherwise(F.col("_best.shard")).cast("int"))
-    return out.withColumn(shard, F.col("_best.shard").cast("int")).drop("_best")
+        made[grown] = F.when(F.col(extra) > F.col(f"{best}.score"), len(weights)).otherwise(F.col(f"{best}.shard")).cast("int")
+    return out.withColumns(made).drop(best, extra)
 
 
 def with_slots(df: DataFrame, shard: str = "shard", slot: str = "slot", buckets: int = BUCKETS) -> DataFrame:
@@ -57,14 +59,15 @@ def with_slots(df: DataFrame, shard: str = "shard", slot: str = "slot", buckets:
     that repeats without end doesn't gather in one task. Each shard is counted in `buckets` hash buckets side by side; only
     their counts (shards x buckets rows, however large the table) are added up and broadcast.
     """
-    names = df.columns
-    units = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    names = [c for c in df.columns if c.lower() != slot.lower()]
+    n, b, cell, s, c, start, at, i = fresh(df, "n", "b", "cell", "s", "c", "start", "at", "i")
+    units = df.groupBy(*names).agg(F.count(F.lit(1)).alias(n)).withColumn(b, F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
     units = durable(units, "slots")
-    before = Window.partitionBy(shard).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = units.groupBy(shard, "_b").agg(F.sum("_n").alias("_cell"))
-    cells = cells.select(F.col(shard).alias("_s"), F.col("_b").alias("_c"), F.coalesce(F.sum("_cell").over(before), F.lit(0)).alias("_from"))
-    inner = Window.partitionBy(shard, "_b").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    placed = units.withColumn("_at", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
-    placed = placed.join(F.broadcast(cells), F.col(shard).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i")
-    return placed.select(*names, F.col("_from"), F.col("_at"), copies).select(*names, (F.col("_from") + F.col("_at") + F.col("_i")).cast("long").alias(slot))
+    before = Window.partitionBy(shard).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    cells = units.groupBy(shard, b).agg(F.sum(n).alias(cell))
+    cells = cells.select(F.col(shard).alias(s), F.col(b).alias(c), F.coalesce(F.sum(cell).over(before), F.lit(0)).alias(start))
+    inner = Window.partitionBy(shard, b).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    placed = units.withColumn(at, F.coalesce(F.sum(n).over(inner), F.lit(0)))
+    placed = placed.join(F.broadcast(cells), F.col(shard).eqNullSafe(F.col(s)) & (F.col(b) == F.col(c)))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(i)
+    return placed.select(*names, start, at, copies).select(*names, (F.col(start) + F.col(at) + F.col(i)).cast("long").alias(slot))

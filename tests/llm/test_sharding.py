@@ -1,6 +1,8 @@
+import struct
 import zlib
 
 import pytest
+import xxhash
 
 from cinderlog.llm.sharding import with_shards, with_slots
 
@@ -38,11 +40,36 @@ def test_slots_are_gapless_with_nulls_and_repeated_rows(spark):
     assert with_slots(with_shards(frame(spark, []), "doc_id", [1.0] * 4)).count() == 0
 
 
+def score(key, shard):
+    """The hash that shards compete by: of the key's 8 bytes, then of the shard's 4."""
+    first = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    return xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=first) >> 11
+
+
+def test_clashing_names_and_long_keys(spark):
+    schema = "key string, slot int, Shard int, best string, _best string, extra int, n long, b int, _n long, start int, at int, i int, s int, c int, grown_shard string"
+    rows = [("k" * 300_000, 9, 9, "b", "b", 1, 2, 3, 4, 5, 6, 7, 8, 9, "g")] * 3 + [(None,) * 15, ("k2", *[None] * 14)]
+    sharded = with_shards(spark.createDataFrame(rows, schema), "key", [1.0, 2.0])
+    assert sorted(c.lower() for c in sharded.columns) == sorted(c.lower() for c in schema.replace(",", "").split()[::2])
+    got = with_slots(sharded, shard="Shard")
+    assert sorted(c.lower() for c in got.columns) == sorted(c.lower() for c in sharded.columns)
+    out = got.collect()
+    assert len(out) == 5 and {r.best for r in out} == {"b", None}
+    for s in (0, 1):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_query_digests(spark):
     from conftest import SF
 
     from cinderlog.llm.registry import op3_sharding
 
     texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for r in op3_sharding(spark, SF).collect():
+    rows = op3_sharding(spark, SF).collect()
+    for r in rows:
+        scores = [score(r.doc_id, s) for s in range(41)]
+        assert r.shard == scores.index(max(scores[:40])) and r.grown_shard == scores.index(max(scores))
+    for s in range(40):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    for r in rows:
         assert (r.size, r.text_crc32) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id])) and 0 <= r.shard < 40
