@@ -7,6 +7,7 @@ these are exact.
 
 Edge cases: null text counts as the empty text, whose sketch is empty; two empty sketches have likeness 1, an empty and
 another one 0. Words are runs of characters other than space and \\t to \\r, as they stand.
+Keys are whole numbers, ValueError for others; other columns aren't read; very long texts are sketched whole.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinderlog.llm.names import need_whole
 from cinderlog.runtime import durable
 
 K, WORDS = 128, 5
@@ -80,6 +82,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Who is next is found on a narrow table, cut into ranges of the key: a window within each range, and one row a range to
     link them up. Then each text is moved once by its own key and its needed start once to the document before.
     """
+    need_whole(docs, key)
     body = F.coalesce(F.col(text), F.lit(""))
     # ik, th: a key of the document without nulls. The last bit of th tells a null key from the lowest number.
     ik = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))

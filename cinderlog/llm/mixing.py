@@ -7,7 +7,8 @@ serially (4096 rows a source). The budget is met exactly: whole passes over the
 order, of which the last may be taken in part.
 
 Edge cases: null text has size 0; null sources are one source, last in order; a source of size 0 gets target 0; repeated
-rows count each for itself; an empty table gives an empty table.
+rows count each for itself; very long texts are counted whole; an empty table gives an empty table; other columns stay
+(mixed_documents) or aren't read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinderlog.llm.names import fresh
 from cinderlog.runtime import durable
 
 #: The contract's characters of a word, weights in turn, share of all sizes, and times a source may be read.
@@ -111,7 +113,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     passes = F.when(F.col("source_size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("source_size"))).otherwise(F.lit(0))
     more = (F.col("size") > 0) & ((F.col("taken") - passes * F.col("size")) * 2 >= F.col("size"))
     place = lambda k: F.struct(_hash(k, seed).alias("h"), k.isNull().alias("n"), k.alias("k"))
-    cuts = full.groupBy(F.col("source").alias("_source")).agg(F.max(passes).cast("int").alias("_passes"), F.max(F.when(more, place(F.col("k")))).alias("_cut"))
-    copies = F.col("_passes") + F.coalesce((place(F.col(key)) <= F.col("_cut")).cast("int"), F.lit(0))
-    rows = docs.join(durable(cuts, "cuts"), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    own, times, last, many, copy = fresh(docs, "own", "times", "last", "many", "copy")
+    cuts = full.groupBy(F.col("source").alias(own)).agg(F.max(passes).cast("int").alias(times), F.max(F.when(more, place(F.col("k")))).alias(last))
+    copies = F.col(times) + F.coalesce((place(F.col(key)) <= F.col(last)).cast("int"), F.lit(0))
+    rows = docs.join(durable(cuts, "cuts"), F.col(source).eqNullSafe(F.col(own))).withColumn(many, copies).where(F.col(many) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*columns)

@@ -10,7 +10,12 @@ never pairs. A class's copies count towards links but aren't compared.
 Edge cases: a text with fewer than n words has one n-gram, all of its words; texts without words (null, empty) form one
 class and have no links outside it; rows of the same key and text are two documents; null keys are allowed, and a group's
 class_id is its least key that isn't null, if it has any. Words are runs of bytes other than space and \\t to \\r, as they
-stand.
+stand. Keys are whole numbers, ValueError for others; very long texts are compared whole; columns of other names, whatever
+they are, stay (one_of_each) or aren't read.
+
+A group of m different near copies in one bucket costs m * m / 2 comparisons, for the number of links asks for every pair, and
+m / BLOCK_ROWS copies of each text on their way to them. Pairs whose n-gram sets differ too much in size to reach the
+threshold are told by their sizes alone.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.llm.names import fresh, need_whole
 from cinderlog.llm.texthash import U, buffers, mix, portions, shingle_hashes
 from cinderlog.runtime import durable, on_workers
 
@@ -113,6 +119,10 @@ def _verify(n: int, threshold: float):
             h, count = shingle_hashes(part, n)
             sets += [np.unique(p) for p in np.split(h, np.cumsum(count)[:-1])]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
+        fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+        i, j = i[fits], j[fits]
+        if not len(i):
+            return None
         shared = shared_counts(sets, i, j)
         near = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
         i, j = i[near], j[near]
@@ -192,6 +202,7 @@ def _key() -> Column:
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
     """(ik, th, n_links, first_ik, first_th) of every row: itself, its links, and the first row of its group."""
+    need_whole(docs, key)
     on_workers(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     sig = durable(signed(docs, key, text, n, bands, rows), "signatures")
@@ -241,9 +252,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     other = full.where("ik != first_ik or th != first_th").select("ik", "th").distinct()
     again = full.where("ik = first_ik and th = first_th and n_links > 0").groupBy("ik", "th").count().where("count > 1").select("ik", "th")
     ik, th, _ = _identity(key, text)
-    keyed = docs.withColumns({"_ik": ik, "_th": th})
-    on = lambda t: (F.col("_ik") == t["ik"]) & (F.col("_th") == t["th"])
+    own_ik, own_th = fresh(docs, "own_ik", "own_th")
+    keyed = docs.withColumns({own_ik: ik, own_th: th})
+    on = lambda t: (keyed[own_ik] == t["ik"]) & (keyed[own_th] == t["th"])
     marks = other.union(again)
     single = keyed.join(marks.hint("merge"), on(marks), "left_anti")
-    repeated = keyed.join(again, on(again), "left_semi").dropDuplicates(["_ik", "_th"])
+    repeated = keyed.join(again, on(again), "left_semi").dropDuplicates([own_ik, own_th])
     return single.union(repeated).select(*docs.columns)

@@ -21,7 +21,7 @@ blocks. `stats` tells.
 
 Edge cases: vectors that are null, or hold a null, NaN or infinity, take no part, nor do null ids; shorter vectors count as
 filled up with zeros; an empty vector is all zeros; rows that repeat an id are candidates each, and one query (the least
-vector); scores beyond 64 bits become the nearest number that fits; ids are whole numbers (others are an error). Columns
+vector); scores beyond 64 bits become the nearest number that fits; ids are whole numbers, ValueError for others. Columns
 other than the two named are not read.
 """
 
@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinderlog.llm.names import need_whole
 from cinderlog.llm.texthash import mix
 from cinderlog.runtime import durable, on_workers
 
@@ -108,6 +109,7 @@ def whole(df: DataFrame, key: str, vector: str) -> DataFrame:
             columns = [x.column(0).take(pa.array(some)), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([float(v @ v) for v in vectors], pa.float64()), pa.array(at[some + 1] - at[some], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "v", "norm", "width"])
 
+    need_whole(df, key)
     on_workers(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x")).mapInArrow(quantize, "id long, v binary, norm double, width long")
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import xxhash
+import pytest
 from pyspark.sql import functions as F
 
 from cinderlog.llm import fingerprints as fp
@@ -71,3 +72,13 @@ def test_estimates(spark):
     assert fp.edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fp.edited_fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert one[0].edited == "abcdab"
+
+
+def test_long_texts_and_keys_that_are_no_numbers(spark):
+    a, b = "word " * 200_000, " ".join(f"w{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, a, 1), (2, b, 2)], "doc_id int, text string, ik int")
+    got = {r.doc_id: r for r in fp.edited_fingerprints(docs).collect()}
+    assert got[2].edited == b[: len(b) - len(b) // 3] + a[: len(b) // 3] and got[1].n_chars == len(a) and got[2].near_next < 0.05
+    assert got[2].near_edited > 0.5 and len(got[2].sketch) == fp.K
+    with pytest.raises(ValueError):
+        fp.edited_fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("string")))

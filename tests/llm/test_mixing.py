@@ -59,3 +59,13 @@ def test_oracle(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as from '{SF}/documents.parquet'")
     assert got == sorted(con.execute(mixing.ORACLE_SQL).fetchall())
+
+
+def test_long_texts_and_clashing_names(spark):
+    schema = "doc_id string, text string, source string, own string, times int, last string, many int, copy int, _copy int"
+    rows = [("k" * 100_000, "w " * 500_000, "a", "o", 1, "l", 2, 3, 4), ("b", "one two", "b", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == set(rows)
+    # The small source is read twice; the large one has the rest of 150 %.
+    assert {r["size"]: r.taken for r in mixing.mix(docs).collect()} == {500_000: round(1.5 * 500_002) - 4, 2: 4}

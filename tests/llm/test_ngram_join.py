@@ -109,3 +109,16 @@ def test_shingle_hashes_are_equal_where_words_are():
             assert len(want) == len(own)
             for g, x in zip(want, own.tolist(), strict=True):
                 assert seen.setdefault(g, x) == x and back.setdefault(x, g) == g
+
+
+def test_long_texts_clashing_names_and_keys_that_are_no_numbers(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long, 7, 8, "x"), (2, long + " more", 7, 8, "y"), (3, "w " * 300_000, None, None, None), (4, "w " * 300_001, 1, 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ik long, own_ik int, _own_th string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nj.similarity_join(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1)}
+    one = nj.one_of_each(docs)
+    assert one.columns == docs.columns and sorted(map(tuple, one.collect())) == [rows[0], rows[2]]
+    with pytest.raises(ValueError):
+        nj.similarity_join(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+    assert nj.similarity_join(docs.withColumn("doc_id", docs.doc_id.cast("int"))).where("n_links = 1").count() == 4
