@@ -8,7 +8,6 @@ equal words shares a cluster. Chunks are clustered side by side.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,13 +93,52 @@ def cluster_texts(texts: list[str], eps: float = EPS, least: int = LEAST) -> lis
     return [int(label[p]) for p in place]
 
 
-def cluster_lines(lines: DataFrame, line: str = "log", ordinal: str = "ord", chunk: int = CHUNK, eps: float = EPS, least: int = LEAST) -> DataFrame:
-    """(ord, chunk, cluster) of every line."""
+def vectors(texts: list[str]) -> np.ndarray:
+    """The TF-IDF vectors, one a row."""
+    start, term, weight = tfidf(texts)
+    x = np.zeros((len(texts), (term.max() + 1) if len(term) else 1))
+    x[np.repeat(np.arange(len(texts)), np.diff(start)), term] = weight
+    return x
+
+
+def mean_shift(texts: list[str], width: float = EPS, rounds: int = 300) -> list[int]:
+    """Cluster of each text by mean shift with a flat kernel: each different text climbs to the mean of all texts within
+    `width` of it; ends nearer than `width` are one, the one with the most texts about it."""
+    first: dict[str, int] = {}
+    place = [first.setdefault(t, len(first)) for t in texts]
+    x, copies = vectors(list(first)), np.bincount(place, minlength=len(first))
+    if not len(x):
+        return []
+
+    def about(points: np.ndarray) -> np.ndarray:
+        return ((points * points).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * points @ x.T <= width * width + 1e-12) * copies
+
+    ends = x.copy()
+    for _ in range(rounds):
+        near = about(ends)
+        moved = near @ x / near.sum(1, keepdims=True)
+        if np.abs(moved - ends).max() < 1e-3 * width:
+            break
+        ends = moved
+    weight, peaks = about(ends).sum(1), []
+    for k in np.lexsort((np.arange(len(x)), -weight)):
+        if all(np.linalg.norm(ends[k] - ends[p]) >= width for p in peaks):
+            peaks.append(k)
+    label = ((x * x).sum(1)[:, None] - 2 * x @ ends[peaks].T + (ends[peaks] ** 2).sum(1)[None]).argmin(1)
+    return [int(label[p]) for p in place]
+
+
+def cluster_lines(lines: DataFrame, line: str = "log", ordinal: str = "ord", chunk: int = CHUNK, eps: float = EPS, least: int = LEAST, method: str = "dbscan") -> DataFrame:
+    """(ord, chunk, cluster) of every line. method: dbscan, or mean_shift, whose vectors are held in full: a chunk of some
+    thousand different lines at most."""
+    if method not in ("dbscan", "mean_shift"):
+        raise ValueError(f"method: {method}")
     on_workers(lines.sparkSession)
 
     def chunks(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord")
-        return pd.DataFrame({"ord": frame["ord"], "chunk": frame["chunk"], "cluster": cluster_texts(frame["text"].tolist(), eps, least)})
+        texts = frame["text"].tolist()
+        return pd.DataFrame({"ord": frame["ord"], "chunk": frame["chunk"], "cluster": cluster_texts(texts, eps, least) if method == "dbscan" else mean_shift(texts, eps)})
 
     rows = lines.select(F.col(ordinal).cast("long").alias("ord"), F.floor(F.col(ordinal) / chunk).alias("chunk"), F.array_join(words(F.coalesce(F.col(line), F.lit(""))), " ").alias("text"))
     return rows.groupBy("chunk").applyInPandas(chunks, "ord long, chunk long, cluster int")
@@ -109,9 +147,7 @@ def cluster_lines(lines: DataFrame, line: str = "log", ordinal: str = "ord", chu
 def diverse(texts: list[str], k: int) -> list[int]:
     """Places of k texts that differ the most: greedily, the one whose vector has the largest part outside the span of those
     chosen (the determinant of their similarities grows the most). Ties to the first."""
-    start, term, weight = tfidf(texts)
-    x = np.zeros((len(texts), (term.max() + 1) if len(term) else 1))
-    x[np.repeat(np.arange(len(texts)), np.diff(start)), term] = weight
+    x = vectors(texts)
     left, chosen = (x * x).sum(1), []
     basis = np.zeros((0, x.shape[1]))
     for _ in range(min(k, len(texts))):
@@ -125,20 +161,59 @@ def diverse(texts: list[str], k: int) -> list[int]:
     return chosen
 
 
+def balanced_groups(x: np.ndarray, size: int, rounds: int = 20) -> list[list[int]]:
+    """Rows in groups of `size` at most that lie together: means that start at rows far from each other, then places given out
+    by nearness, so that a row whose mean has no place left goes to the next nearest that has."""
+    k = -(-len(x) // size)
+    seeds = [0]
+    for _ in range(k - 1):
+        seeds.append(int(((x[:, None] - x[seeds][None]) ** 2).sum(2).min(1).argmax()))
+    means = x[seeds]
+    for _ in range(rounds):
+        near = ((x[:, None] - means[None]) ** 2).sum(2).argmin(1)
+        moved = np.stack([x[near == g].mean(0) if (near == g).any() else means[g] for g in range(k)])
+        if np.allclose(moved, means):
+            break
+        means = moved
+    d = ((x[:, None] - means[None]) ** 2).sum(2)
+    groups: list[list[int]] = [[] for _ in range(k)]
+    placed = np.zeros(len(x), bool)
+    for at in np.argsort(d.round(12), axis=None, kind="stable"):
+        row, group = divmod(int(at), k)
+        if not placed[row] and len(groups[group]) < size:
+            groups[group].append(row)
+            placed[row] = True
+    return groups
+
+
 def sample_texts(texts: list[str], k: int, method: str = "dpp", seed: int = 0) -> list[str]:
-    """k different texts of a cluster: dpp (the most different), random, or similar (those nearest to their mean)."""
+    """k different texts of a cluster: dpp (the most different), random, or similar (a group of texts that lie together)."""
     once = list(dict.fromkeys(texts))
     if len(once) <= k:
         return once
     if method == "dpp":
-        chosen: Iterator[int] = iter(diverse(once, k))
+        chosen = diverse(once, k)
     elif method == "random":
-        chosen = iter(np.random.default_rng(seed).permutation(len(once))[:k].tolist())
+        chosen = np.random.default_rng(seed).permutation(len(once))[:k].tolist()
     elif method == "similar":
-        start, term, weight = tfidf(once)
-        mean = np.bincount(term, weight)
-        score = np.add.reduceat(np.append(weight * mean[term], 0.0), start[:-1]) * (np.diff(start) > 0)
-        chosen = iter(np.argsort(-score, kind="stable")[:k].tolist())
+        chosen = balanced_groups(vectors(once), k)[0]
     else:
         raise ValueError(f"method: {method}")
     return [once[i] for i in chosen]
+
+
+def examples(groups: dict[str, list[str]], most: int, seed: int = 0) -> list[tuple[str, str]]:
+    """(line, template) pairs to show a model: of each template's lines one by chance, in turn from the largest group on, until
+    there are `most` or no lines are left."""
+    rng = np.random.default_rng(seed)
+    order = sorted(groups, key=lambda t: (-len(groups[t]), t))
+    mixed = {t: [groups[t][i] for i in rng.permutation(len(groups[t]))] for t in order}
+    turns = max(map(len, mixed.values()), default=0)
+    return [(mixed[t][n], t) for n in range(turns) for t in order if n < len(mixed[t])][:most]
+
+
+def nearest_examples(line: str, pairs: list[tuple[str, str]], k: int) -> list[tuple[str, str]]:
+    """The k pairs whose lines are the most like this one, by TF-IDF; ties to the first."""
+    x = vectors([line, *(p[0] for p in pairs)])
+    order = np.argsort(-(x[1:] @ x[0]).round(12), kind="stable")
+    return [pairs[i] for i in order[:k]]

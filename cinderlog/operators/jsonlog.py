@@ -15,45 +15,56 @@ from cinderlog.operators.templates import Templates, match
 from cinderlog.runtime import on_workers
 
 
-def flatten(value: Any, sep: str = ".") -> dict[str, Any]:
-    """Paths, joined by sep, of all that isn't an object or a list; empty ones of those vanish. Last members come first."""
-    out: dict[str, Any] = {}
-    todo = [("", value)]
-    while todo:
-        path, here = todo.pop()
-        if isinstance(here, dict | list | tuple):
-            members = here.items() if isinstance(here, dict) else enumerate(here)
-            todo += [(f"{path}{sep}{k}" if path else str(k), v) for k, v in members]
-        else:
-            out[path] = here
-    return out
-
-
-def find_key(value: Any, part: str) -> list | None:
-    """Path of a key that contains part, whatever the case: level by level within a branch, last branches first."""
-    part, todo = part.lower(), [(value, [])]
-    while todo:
-        here, path = todo.pop()
-        if isinstance(here, dict):
-            for k, v in here.items():
-                if part in str(k).lower():
-                    return [*path, k]
-                todo.append((v, [*path, k]))
-        elif isinstance(here, list | tuple):
-            todo += [(v, [*path, i]) for i, v in enumerate(here)]
-    return None
-
-
-def take(value: Any, path: list | None, delete: bool = True) -> Any:
-    """What stands at a path, which is removed from its object or list; null without a path."""
-    if path is None:
+Path = tuple[str | int, ...]
+
+
+def members(value: Any) -> list[tuple[str | int, Any]]:
+    """What an object or a list holds, by key or place; nothing for all else."""
+    if isinstance(value, dict):
+        return list(value.items())
+    return list(enumerate(value)) if isinstance(value, list) else []
+
+
+def leaves(value: Any, path: Path = (), without: frozenset[Path] = frozenset()) -> Iterator[tuple[Path, Any]]:
+    """(path, leaf) of all that is neither an object nor a list, in document order, but for what stands at the paths left out.
+    Empty objects and lists have no leaves."""
+    if path in without:
+        return
+    if isinstance(value, dict | list):
+        for step, inner in members(value):
+            yield from leaves(inner, (*path, step), without)
+    else:
+        yield path, value
+
+
+def named(value: Any, part: str, path: Path = (), without: frozenset[Path] = frozenset()) -> tuple[Path, Any] | None:
+    """(path, what stands there) of the key that contains part, whatever the case. An object's own keys come first, then its
+    members, of which the last are looked into first."""
+    inner = [(step, v) for step, v in members(value) if (*path, step) not in without]
+    if isinstance(value, dict):
+        for step, v in inner:
+            if part in str(step).lower():
+                return (*path, step), v
+    return next((hit for step, v in reversed(inner) if (hit := named(v, part, (*path, step), without))), None)
+
+
+def read_object(text: str | None, time_name: str, content_name: str, sep: str = ".") -> dict[str, Any] | None:
+    """time, content and the other leaves as flat fields; None for what isn't JSON, or is nested too deep to be read. Of fields
+    that share a flat name the first in the document counts."""
+    try:
+        value = json.loads(text or "")
+        gone: frozenset[Path] = frozenset()
+        found = []
+        for name in (time_name, content_name):
+            hit = named(value, name.lower(), without=gone)
+            found.append(None if hit is None else _text(hit[1]))
+            gone |= set() if hit is None else {hit[0]}
+        fields: dict[str, str] = {}
+        for path, leaf in leaves(value, without=gone):
+            fields.setdefault(sep.join(map(str, path)), str(leaf))
+    except (ValueError, RecursionError):
         return None
-    for step in path[:-1]:
-        value = value[step]
-    found = value[path[-1]]
-    if delete:
-        del value[path[-1]]
-    return found
+    return {"time": found[0], "content": found[1], "fields": list(fields.items())}
 
 
 def _text(x: Any) -> str | None:
@@ -61,24 +72,14 @@ def _text(x: Any) -> str | None:
 
 
 def _reader(time_name: str, content_name: str):
-    kind = pa.struct([("ok", pa.bool_()), ("time", pa.string()), ("content", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
+    kind = pa.struct([("time", pa.string()), ("content", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))])
 
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                try:
-                    value = json.loads(text or "")
-                except ValueError:
-                    out.append({"ok": False, "time": None, "content": None, "fields": []})
-                    continue
-                time = take(value, find_key(value, time_name))
-                content = take(value, find_key(value, content_name))
-                flat = [(k, str(v)) for k, v in flatten(value).items()]
-                out.append({"ok": True, "time": _text(time), "content": _text(content), "fields": flat})
-            yield pa.array(out, kind)
-
-    return F.arrow_udf("struct<ok:boolean,time:string,content:string,fields:map<string,string>>")(read)
+            yield pa.array([read_object(text, time_name, content_name) for text in batch.to_pylist()], kind)
+
+    # Not deterministic to the planner, which else runs it once to filter and once more to read.
+    return F.arrow_udf("struct<time:string,content:string,fields:map<string,string>>")(read).asNondeterministic()
 
 
 def parse_json(df: DataFrame, templates: Templates | None = None, *, log: str = "log", time_name: str = "time", content_name: str = "message", time_format: str | None = None) -> DataFrame:
@@ -88,7 +89,7 @@ def parse_json(df: DataFrame, templates: Templates | None = None, *, log: str =
     aren't JSON are dropped.
     """
     on_workers(df.sparkSession)
-    read = df.withColumn("_json", _reader(time_name, content_name)(F.col(log))).where("_json.ok")
+    read = df.withColumn("_json", _reader(time_name, content_name)(F.col(log))).where("_json is not null")
     time = F.create_map(F.lit("Time"), to_seconds(F.col("_json.time"), time_format).cast("string"))
     fields = F.map_concat(F.map_filter("_json.fields", lambda k, _: k != "Time"), time)
     has = F.coalesce(F.col("_json.content"), F.lit("")) != ""

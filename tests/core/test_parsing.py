@@ -118,9 +118,15 @@ def test_named_templates_and_files(tmp_path):
 
 
 def test_json(spark):
-    assert jsonlog.flatten({"a": {"b": 1}, "c": [1, {"d": None}], "e": {}, "f": []}) == {"a.b": 1, "c.0": 1, "c.1.d": None}
-    assert jsonlog.find_key({"a": {"Time": 1}, "b": [{"mytime": 2}]}, "time") == ["b", 0, "mytime"]
-    assert jsonlog.find_key({"x": {"time": 1}, "UpTime": 2}, "time") == ["UpTime"]
+    read = lambda value, time="time", content="message": jsonlog.read_object(json.dumps(value), time, content)
+    assert read({"a": {"b": 1}, "c": [1, {"d": None}], "e": {}, "f": []})["fields"] == [("a.b", "1"), ("c.0", "1"), ("c.1.d", "None")]
+    # Keys: an object's own first, then the last member's.
+    assert jsonlog.named({"a": {"Time": 1}, "b": [{"mytime": 2}]}, "time") == (("b", 0, "mytime"), 2)
+    assert jsonlog.named({"x": {"time": 1}, "UpTime": 2}, "time") == (("UpTime",), 2)
+    assert read({"times": {"message": "m", "x": 1}, "y": [{"message": "n"}]}) == {"time": "{'message': 'm', 'x': 1}", "content": "n", "fields": []}
+    assert read({"a.b": 1, "a": {"b": 2}})["fields"] == [("a.b", "1")]
+    assert jsonlog.read_object("[" * 100_000, "time", "message") is None and jsonlog.read_object(None, "time", "message") is None
+    assert read("text") == {"time": None, "content": None, "fields": [("", "text")]}
     logs = [json.dumps({"ts_time": "2026-03-04T00:00:00Z", "message": "user bob in", "a": {"b": True, "n": None}}), json.dumps({"q": 1}), "broken", json.dumps({"message": "zzz", "time": 5})]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(logs)], "ord long, log string")
     got = jsonlog.parse_json(df, Templates.of(["user <*> in"])).orderBy("ord").collect()
@@ -137,15 +143,15 @@ def test_mining(spark):
         "x=true y=False": "x=<*> y=False",
         "plain text": "plain text",
     }
-    assert {k: mining.generalise(k) for k in cases} == cases
-    assert mining.answer_template("It is `user {{name}} on ${x}` I think `no`") == "user <*> on <*>"
-    assert mining.answer_template("no ticks") == "" and mining.answer_template("`<*> <*>`") == ""
+    assert column(spark, list(cases), mining.generalise, "string") == list(cases.values())
+    answers = {"It is `user {{name}} on ${x}` I think `no`": "user <*> on <*>", "no ticks": "", "`<*> <*>`": "", "`a {{x}}\n b`": "a <*> b"}
+    assert column(spark, list(answers), mining.answer_template, "string") == list(answers.values())
     lines = [f"user {i} logged in from 10.0.0.{i}" for i in range(1000, 1060)] + ["disk full"] * 3
     df = spark.createDataFrame([(x,) for x in lines], "log string")
     got = mining.mine(df).orderBy("EventId").collect()
     assert [(r.template, r.occurrences, r.EventId) for r in got] == [("user <*> logged in from <*>", 60, "E1"), ("disk full", 3, "E2")]
-    asked = mining.mine(df, ask=lambda sample: "`disk <*>`" if "disk" in sample[0] else "").collect()
-    assert {r.template for r in asked} == {"user <*> logged in from <*>", "disk <*>"}
+    nulls = mining.with_templates(spark.createDataFrame([(None,), ("",), ("17",)], "log string")).collect()
+    assert [r.template for r in nulls] == [""] * 3
     assert column(spark, ["a=1 b c2 /x y(z)|Q", "12 3.5"], mining.words, "string") == [["a", "b", "y", "Q"], ["0 0"]]
     assert column(spark, ["<*> .", "a <*>"], mining.is_template) == [False, True]
 
