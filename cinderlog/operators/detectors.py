@@ -30,6 +30,15 @@ def event_time(parsed_fields: Column) -> Column:
     return to_seconds(F.coalesce(F.try_element_at(parsed_fields, F.lit("Time")), F.lit("")))
 
 
+#: What an alert says of its record, beside its place: both are carried along, so that records are read once for scoring.
+ORIGIN = ("_log_id", "_stamp")
+
+
+def with_origin(parsed: DataFrame) -> DataFrame:
+    """parsed with its records' ids and stamps as they stand; the stamps of those that alert are read as times later."""
+    return parsed.withColumns({"_log_id": F.col("logID").cast("string"), "_stamp": F.try_element_at("logFormatVariables", F.lit("Time"))})
+
+
 @dataclass
 class Detector:
     """name, watched: as configured. fit(parsed) makes the model; transform(parsed) gives alerts of parsed records
@@ -53,34 +62,34 @@ class Detector:
         raise NotImplementedError
 
     def findings(self, parsed: DataFrame) -> DataFrame:
-        """(ord, event, name, value, message): one row for each unusual variable of a record."""
-        rows = watched_variables(parsed, self.watched, "ord")
+        """(ord, _log_id, _stamp, event, name, value, message): one row for each unusual variable of a record."""
+        rows = watched_variables(with_origin(parsed), self.watched, "ord", *ORIGIN)
         odd = self.unusual(rows.select("event", "name", "value").distinct())
         return rows.join(odd, ["event", "name", "value"])
 
     def transform(self, parsed: DataFrame) -> DataFrame:
-        return alerts(self.scored(self.findings(parsed)), parsed, self.name, self.kind, self.description.format(name=self.name))
+        return alerts(self.scored(self.findings(parsed)), self.name, self.kind, self.description.format(name=self.name))
 
     def scored(self, findings: DataFrame) -> DataFrame:
-        """(ord, score, found): found is a map of messages by variable."""
+        """(ord, _log_id, _stamp, score, found): found is a map of messages by variable."""
         entry = F.struct(alert_key(F.col("event"), F.col("name")).alias("key"), F.col("message").alias("value"))
-        return findings.groupBy("ord").agg(F.count(F.lit(1)).cast("double").alias("score"), F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("found"))
+        return findings.groupBy("ord", *ORIGIN).agg(F.count(F.lit(1)).cast("double").alias("score"), F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("found"))
 
 
-def alerts(scored: DataFrame, parsed: DataFrame, name: str, kind: str, description: str, start_id: int = 10, clock: Column | None = None) -> DataFrame:
-    """Alert records of scored records (ord, score, found). Ids are given in the order of records, to alerts alone."""
+def alerts(scored: DataFrame, name: str, kind: str, description: str, start_id: int = 10, clock: Column | None = None) -> DataFrame:
+    """Alert records of scored records (ord, _log_id, _stamp, score, found). Ids are given in the order of records, to alerts
+    alone."""
     from cinderlog.operators.order import with_ordinal
 
     now = clock if clock is not None else F.unix_timestamp()
-    origin = parsed.select("ord", "logID", event_time(F.col("logFormatVariables")).alias("_time"))
-    full = with_ordinal(scored.join(origin, "ord"), "ord", ordinal="_id", start=start_id)
+    full = with_ordinal(scored.withColumn("_time", to_seconds(F.coalesce("_stamp", F.lit("")))), "ord", ordinal="_id", start=start_id)
     return full.select(
         "ord",
         F.lit(name).alias("detectorID"),
         F.lit(kind).alias("detectorType"),
         F.concat(F.lit(f"{name}_"), F.col("_id").cast("string")).alias("alertID"),
         now.alias("detectionTimestamp"),
-        F.array(F.col("logID").cast("string")).alias("logIDs"),
+        F.array("_log_id").alias("logIDs"),
         F.col("score").cast("float").alias("score"),
         F.array("_time").alias("extractedTimestamps"),
         F.lit(description).alias("description"),
@@ -115,7 +124,7 @@ class NewEvent(Detector):
         return self
 
     def scored_records(self, parsed: DataFrame) -> DataFrame:
-        rows = parsed.withColumn("event", F.col("EventID").cast("string"))
+        rows = with_origin(parsed).withColumn("event", F.col("EventID").cast("string"))
         if not (self.compat_global and any(w.event == ANY_EVENT for w in self.watched)):
             new = rows.select("event").distinct().join(self.model, "event", "left_anti")
             rows = rows.join(new, "event", "left_semi")
@@ -124,10 +133,10 @@ class NewEvent(Detector):
         shown = F.transform(watched_entries(self.watched), lambda e: F.concat(F.lit("'"), e["name"], F.lit("': '"), e["value"], F.lit("'")))
         key = F.concat(F.lit("EventID "), F.col("event"), F.lit(" - {"), F.array_join(shown, ", "), F.lit("}"))
         message = F.concat(F.lit("Unknown event ID: '"), F.col("event"), F.lit("'"))
-        return rows.select("ord", F.lit(1.0).alias("score"), F.create_map(key, message).alias("found"))
+        return rows.select("ord", *ORIGIN, F.lit(1.0).alias("score"), F.create_map(key, message).alias("found"))
 
     def transform(self, parsed: DataFrame) -> DataFrame:
-        return alerts(self.scored_records(parsed), parsed, self.name, self.kind, self.description.format(name=self.name))
+        return alerts(self.scored_records(parsed), self.name, self.kind, self.description.format(name=self.name))
 
 
 class NewValueCombo(Detector):
@@ -141,9 +150,9 @@ class NewValueCombo(Detector):
 
     def findings(self, parsed: DataFrame) -> DataFrame:
         key = ["event", "instance", "name"]
-        rows = combinations(parsed, self.watched, "ord")
+        rows = combinations(with_origin(parsed), self.watched, "ord", *ORIGIN)
         known = self.model.select(*key).distinct()
-        odd = rows.drop("ord").distinct().join(known, key, "left_semi").join(self.model, [*key, "value"], "left_anti")
+        odd = rows.drop("ord", *ORIGIN).distinct().join(known, key, "left_semi").join(self.model, [*key, "value"], "left_anti")
         shown = F.concat(F.lit("("), quoted_list(F.col("value")), F.when(F.size("value") == 1, F.lit(",")).otherwise(F.lit("")), F.lit(")"))
         odd = odd.withColumn("message", F.concat(F.lit("Unknown value combination: "), shown))
         return rows.join(odd, [*key, "value"])
@@ -274,11 +283,11 @@ class Rules(Detector):
 
     def scored_records(self, parsed: DataFrame) -> DataFrame:
         entries = [F.when(m.isNotNull(), F.struct(F.lit(r).alias("key"), m.alias("value"))) for r, m in ((r, self._rule(r, w)) for r, w in self.rules)]
-        fired = parsed.select("ord", F.array_compact(F.array(*entries)).alias("e")).where(F.size("e") > 0)
-        return fired.select("ord", F.size("e").cast("double").alias("score"), F.map_from_entries("e").alias("found"))
+        fired = with_origin(parsed).select("ord", *ORIGIN, F.array_compact(F.array(*entries)).alias("e")).where(F.size("e") > 0)
+        return fired.select("ord", *ORIGIN, F.size("e").cast("double").alias("score"), F.map_from_entries("e").alias("found"))
 
     def transform(self, parsed: DataFrame) -> DataFrame:
-        return alerts(self.scored_records(parsed), parsed, self.name, self.kind, "")
+        return alerts(self.scored_records(parsed), self.name, self.kind, "")
 
 
 @dataclass
@@ -293,11 +302,17 @@ class Random(Detector):
         return self
 
     def findings(self, parsed: DataFrame) -> DataFrame:
-        rows = watched_variables(parsed, self.watched, "ord")
-        u = F.shiftrightunsigned(F.xxhash64("ord", "event", "name", F.lit(self.seed)), 11).cast("double") * 2.0**-53
+        rows = watched_variables(with_origin(parsed), self.watched, "ord", *ORIGIN)
+        u = chance(F.col("ord"), F.col("event"), F.col("name"), F.lit(self.seed))
         return rows.where(u > self.threshold).withColumn("message", F.lit("1.0"))
 
 
+def chance(*parts: Column) -> Column:
+    """A number from 0 to below 1 that depends on the parts alone: the first 13 hex digits of their MD5."""
+    text = F.concat_ws("|", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") * 2.0**-52
+
+
 def coverage(model_events: DataFrame, watched: list[Watched], seen: DataFrame) -> tuple[list[str], list[str]]:
     """(configured events that training didn't see, those it saw without any watched variable)."""
     wanted = sorted({w.event for w in watched if w.event != ANY_EVENT})

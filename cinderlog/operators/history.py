@@ -8,8 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cinderlog.operators.order import with_ordinal
 
 
 class LoadError(RuntimeError):
@@ -21,13 +21,24 @@ def append(history: str, parsed: DataFrame) -> None:
     parsed.write.mode("append").partitionBy("EventID").parquet(history)
 
 
-def retained(history: DataFrame, most: int = 10_000_000, ordinal: str = "ord") -> DataFrame:
-    """The last `most` records. Which is the first of them is read off record counts, not off a sort in one task."""
-    total = history.count()
-    if total <= most:
-        return history
-    placed = with_ordinal(history, ordinal, ordinal="_place")
-    return placed.where(F.col("_place") >= total - most).drop("_place")
+def retained(history: DataFrame, most: int = 10_000_000, by: str = "EventID", ordinal: str = "ord", block: int = 1 << 16) -> DataFrame:
+    """The last `most` records of each event.
+
+    Places are cut into blocks. The counts of an event's blocks, one row each, say in which block the first record that stays
+    is; only that block's records are ranked, so an event of any length is spread over all tasks."""
+    if most < 1:
+        raise ValueError("most: 1 at least")
+    rows = history.select(F.col(by).alias("_by"), F.col(ordinal).alias("_ord"), F.floor(F.col(ordinal) / block).alias("_block"))
+    cells = rows.groupBy("_by", "_block").agg(F.count(F.lit(1)).alias("_c"))
+    later = F.sum("_c").over(Window.partitionBy("_by").orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    cuts = cells.withColumn("_drop", F.col("_c") - (F.lit(most) - later)).where("_drop >= 0 and _drop < _c")
+    cuts = cuts.select(F.col("_by").alias("_event"), F.col("_block").alias("_b"), "_drop")
+    inside = rows.join(cuts, F.col("_by").eqNullSafe(F.col("_event")) & (F.col("_block") == F.col("_b")))
+    place = F.row_number().over(Window.partitionBy("_by", "_block").orderBy("_ord")) - 1
+    firsts = inside.withColumn("_i", place).where("_i = _drop").select("_event", F.col("_ord").alias("_first"))
+    # One row an event that has more than `most` records.
+    full = history.join(firsts, F.col(by).eqNullSafe(F.col("_event")), "left")
+    return full.where(F.col("_first").isNull() | (F.col(ordinal) >= F.col("_first"))).select(*history.columns)
 
 
 def compact(spark: SparkSession, history: str, into: str, files: int = 1) -> None:

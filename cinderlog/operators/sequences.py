@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cinderlog.functions.text import ruzicka
-from cinderlog.operators.detectors import event_time
+from cinderlog.operators.detectors import chance, event_time
 from cinderlog.operators.order import sliding, with_ordinal
 from cinderlog.operators.stability import STABLE, STATIC, classify, value_changes
 from cinderlog.runtime import durable
@@ -125,7 +124,7 @@ class NearCountVectors(WindowDetector):
 
     validation: the share of training's different vectors, in the order of a hash, that only sets the threshold: the mean
     of their own distances, or 0 ("default"). A model has one row for each different vector, of which windows of `size`
-    records over a few events have few; different vectors meet it in blocks.
+    records over a few events have few; vectors meet those of the model with which they share an event.
     """
 
     validation: float = 0.2
@@ -139,7 +138,8 @@ class NearCountVectors(WindowDetector):
         return self.fit_vectors(every)
 
     def fit_vectors(self, every: DataFrame) -> NearCountVectors:
-        full = durable(with_ordinal(every.withColumn("_h", F.xxhash64("vector", F.lit(self.seed))), "_h", "vector", ordinal="_o"), "vectors")
+        spread = F.md5(F.concat_ws("|", F.array_join(F.col("vector").cast("array<string>"), ","), *([F.lit(self.seed)] if self.seed else [])))
+        full = durable(with_ordinal(every.withColumn("_h", spread), "_h", "vector", ordinal="_o"), "vectors")
         n = full.count()
         kept = F.ceil(F.lit(n) * (1 - self.validation))
         self.model = full.where(F.col("_o") < kept).select("vector")
@@ -152,20 +152,29 @@ class NearCountVectors(WindowDetector):
             raise ValueError(f"method: {self.method}")
         return self
 
-    def distances(self, vectors: DataFrame, blocks: int = 16) -> DataFrame:
-        """(vector, distance): the least distance to the model's vectors. vectors are few and different.
-
-        Vectors meet the model in blocks by a hash, so that no task holds the model as a whole."""
-        left = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        model = self.model.select(F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int").alias("_mb"), F.col("vector").alias("known"))
-        model = model.groupBy("_mb").agg(F.collect_list("known").alias("known"))
-        near = F.array_min(F.transform("known", lambda k: ruzicka(F.col("vector"), k)))
-        return left.join(model, F.col("_b") == F.col("_mb")).groupBy("vector").agg(F.min(near).alias("distance"))
+    def distances(self, vectors: DataFrame) -> DataFrame:
+        """(vector, distance): the least distance to the model's vectors; null without any. vectors are few and different, as
+        the counts of `size` records over a few events are; so is the model.
+
+        Windows of one size have vectors of one sum, and of such two the distance is 1 - shared / (2 * sum - shared): the
+        nearest shares the most. Vectors meet those of the model that share an event with them, entry by entry, and only sums
+        of shared counts are kept; one that shares none is at distance 1."""
+        entries = lambda v: F.filter(F.transform(v, lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda e: e["n"] > 0)
+        total = lambda v: F.aggregate(v, F.lit(0), lambda s, n: s + n)
+        left = vectors.select("vector", F.explode(entries(F.col("vector"))).alias("e")).select("vector", "e.*")
+        right = self.model.select(F.col("vector").alias("known"), F.explode(entries(F.col("vector"))).alias("e")).select("known", F.col("e.i").alias("j"), F.col("e.n").alias("m"))
+        met = left.join(right, F.col("i") == F.col("j")).groupBy("vector", "known").agg(F.sum(F.least("n", "m")).alias("shared"))
+        both = total(F.col("vector")) + total(F.col("known"))
+        near = met.groupBy("vector").agg(F.min(1 - F.col("shared") / (both - F.col("shared"))).alias("near"))
+        some = F.lit(None).cast("double") if self.model.isEmpty() else F.lit(1.0)
+        near = near.withColumnRenamed("vector", "_met")
+        return vectors.join(near, F.col("vector") == F.col("_met"), "left").select("vector", F.coalesce("near", some).alias("distance"))
 
     def unusual(self, parsed: DataFrame) -> DataFrame:
         full = windows(parsed, self.size).withColumn("vector", count_vector(F.col("events")))
-        far = self.distances(full.select("vector").distinct()).where(F.col("distance") > self.threshold)
-        return full.join(far, "vector")
+        # Vectors of training are at distance 0, which no threshold is below.
+        new = full.select("vector").distinct().join(self.model, "vector", "left_anti")
+        return full.join(self.distances(new).where(F.col("distance") > self.threshold), "vector")
 
     def transform(self, parsed: DataFrame) -> DataFrame:
         text = "ECVC found an anominal sequence"
@@ -177,8 +186,8 @@ class NextEvent(WindowDetector):
     """Windows whose last event is none of the likely ones after the others.
 
     The likelihood is a count of what followed the last `order` events in training, backing off to fewer where training
-    hasn't seen them: a substitute, with the same rule, for a recurrent network. top_k is the usual rank of the truth in
-    training windows set aside, plus 2.
+    hasn't seen them: a substitute, with the same rule, for a recurrent network. top_k, if it isn't given, is the usual rank of
+    the truth in a share of training windows (chosen by a hash of their places) that the counts don't have, plus 2.
     """
 
     order: int = 2
@@ -196,7 +205,7 @@ class NextEvent(WindowDetector):
 
     def fit(self, parsed: DataFrame) -> NextEvent:
         full = windows(parsed, self.size)
-        aside = F.pmod(F.xxhash64("window"), F.lit(1000)) < int(1000 * self.validation)
+        aside = F.lit(False) if self.top_k is not None else chance(F.col("window")) < self.validation
         counts = self._examples(full.where(~aside)).groupBy("n", "context", "event").agg(F.count(F.lit(1)).alias("c"))
         ranked = Window.partitionBy("n", "context").orderBy(F.col("c").desc(), "event")
         self.model = durable(counts.withColumn("rank", F.row_number().over(ranked)), "next-event")
@@ -248,7 +257,7 @@ class MaskedEvents(WindowDetector):
 
     def unusual(self, parsed: DataFrame) -> DataFrame:
         full = windows(parsed, self.size)
-        masked = F.pmod(F.xxhash64("window", "place", F.lit(self.seed)), F.lit(1000)) < int(1000 * self.share)
+        masked = chance(F.col("window"), F.col("place"), F.lit(self.seed)) < self.share
         odd = self._places(full).where(masked).join(self.model, ["before", "after", "event"], "left_anti")
         return full.join(odd.select("window").distinct(), "window", "left_semi")
 

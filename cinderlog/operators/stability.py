@@ -57,8 +57,9 @@ def charset_changes(rows: DataFrame, *by: str, ordinal: str = "ord") -> DataFram
     chars = rows.select(*by, ordinal, F.explode_outer(F.array_distinct(characters(F.col("value")))).alias("c"))
     firsts = chars.where("c is not null").groupBy(*by, "c").agg(F.min(ordinal).alias(ordinal))
     new = firsts.groupBy(*by, ordinal).agg(F.count(F.lit(1)).alias("_new"))
+    kinds = firsts.groupBy(*by).agg(F.count(F.lit(1)).alias("kinds"))
     marked = rows.join(new, [*by, ordinal], "left").withColumn("changed", F.col("_new").isNotNull().cast("int"))
-    return marked.withColumn("kinds", F.coalesce(F.sum("_new").over(Window.partitionBy(*by)), F.lit(0))).drop("_new")
+    return marked.join(kinds, list(by), "left").withColumn("kinds", F.coalesce("kinds", F.lit(0))).drop("_new")
 
 
 def count_cuts(flags: DataFrame, *by: str, ordinal: str = "ord", segments: int = len(THRESHOLDS), block: int = 1 << 16) -> DataFrame:
@@ -77,51 +78,67 @@ def count_cuts(flags: DataFrame, *by: str, ordinal: str = "ord", segments: int =
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("_k") == k, F.col(ordinal))).alias(f"c{k}") for k in range(1, segments)))
 
 
+def time_spans(flags: DataFrame, *by: str, time: str, ordinal: str = "ord", block: int = 1 << 16) -> DataFrame:
+    """(by, t0, t1, timed): the first and last stamp of each series, and whether its stamps are all there, finite, in order and
+    not all the same.
+
+    Places are cut into blocks; order is seen within each, `block` records at most to a task, and between blocks on one row
+    each."""
+    t = F.col(time).cast("double")
+    fine = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
+    rows = flags.select(*by, F.col(ordinal).alias("_ord"), F.floor(F.col(ordinal) / block).alias("_b"), F.when(fine, t).alias("_t"))
+    line = Window.partitionBy(*by, "_b").orderBy("_ord")
+    rows = rows.withColumn("_bad", F.col("_t").isNull() | F.coalesce(F.col("_t") < F.lag("_t").over(line), F.lit(False)))
+    cells = rows.groupBy(*by, "_b").agg(F.max("_bad").alias("_bad"), F.min("_t").alias("_low"), F.max("_t").alias("_high"), F.min(F.struct("_ord", "_t"))["_t"].alias("_head"), F.max(F.struct("_ord", "_t"))["_t"].alias("_tail"))
+    back = F.coalesce(F.col("_head") < F.lag("_tail").over(Window.partitionBy(*by).orderBy("_b")), F.lit(False))
+    cells = cells.withColumn("_bad", F.col("_bad") | back)
+    spans = cells.groupBy(*by).agg(F.min("_low").alias("t0"), F.max("_high").alias("t1"), F.max("_bad").alias("_odd"))
+    return spans.select(*by, "t0", "t1", (~F.col("_odd") & (F.col("t1") > F.col("t0"))).alias("timed"))
+
+
+def _segments(flags: DataFrame, by: tuple[str, ...], modes: list[str], ordinal: str, time: str | None, segments: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Written flags with what each mode's segments are cut by, and each mode's segment of a record."""
+    if odd := set(modes) - {"count", "time"}:
+        raise ValueError(f"mode: {', '.join(sorted(odd))}")
+    stamp = [F.col(time).alias("_t")] if "time" in modes else []
+    out = durable(flags.select(*by, F.col(ordinal).alias("_ord"), "changed", "kinds", *stamp), "flags")
+    cuts = count_cuts(out, *by, ordinal="_ord", segments=segments)
+    if "time" in modes:
+        cuts = cuts.join(time_spans(out, *by, time="_t", ordinal="_ord"), list(by))
+    counted = F.greatest(F.lit(0), F.lit(0), *(F.when(F.col("_ord") >= F.col(f"c{k}"), k).otherwise(0) for k in range(1, segments)))
+    found = {"count": counted}
+    if "time" in modes:
+        t = F.col("_t").cast("double")
+        timed = F.greatest(*(F.when(t >= F.col("t0") + F.lit(k) * (F.col("t1") - F.col("t0")) / segments, k).otherwise(0) for k in range(segments)), F.lit(0))
+        found["time"] = F.when(F.col("timed"), timed).otherwise(counted)
+    return out.join(cuts, list(by)), found
+
+
+def _mean(segment: str, k: int) -> Column:
+    return F.coalesce(F.avg(F.when(F.col(segment) == k, F.col("changed"))), F.lit(0.0))
+
+
 def segment_means(flags: DataFrame, *by: str, mode: str = "count", ordinal: str = "ord", time: str | None = None, segments: int = len(THRESHOLDS)) -> DataFrame:
     """(by, n, kinds, m0, m1, ...): a mean for each segment, 0 for an empty one.
 
     mode "time" cuts the series' time span into equal parts, and falls back to equal counts if stamps are missing, not
-    finite or out of order, or all the same. Whether they are in order is seen in one task a series; equal counts aren't.
+    finite or out of order, or all the same.
     """
     by = by or SERIES
-    if mode == "count":
-        out = durable(flags.select(*by, ordinal, "changed", "kinds"), "flags")
-        out = out.join(count_cuts(out, *by, ordinal=ordinal, segments=segments), list(by))
-        segment = F.greatest(F.lit(0), F.lit(0), *(F.when(F.col(ordinal) >= F.col(f"c{k}"), k).otherwise(0) for k in range(1, segments)))
-    elif mode == "time":
-        w, full = Window.partitionBy(*by).orderBy(ordinal), Window.partitionBy(*by)
-        out = flags.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(full)})
-        # Place i is in the last segment k whose start, k * n / segments without its fraction, isn't after i.
-        counted = F.greatest(*(F.when(F.col("_i") >= F.floor(F.lit(k) * F.col("_n") / segments), k).otherwise(0) for k in range(segments)))
-        t = F.col(time).cast("double")
-        fine = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
-        out = out.withColumns({"_t": t, "_bad": ((~fine) | F.coalesce(t < F.lag(t).over(w), F.lit(False))).cast("int")})
-        out = out.withColumns({"_odd": F.max("_bad").over(full), "_t0": F.min("_t").over(full), "_t1": F.max("_t").over(full)})
-        timed = F.greatest(*(F.when(F.col("_t") >= F.col("_t0") + F.lit(k) * (F.col("_t1") - F.col("_t0")) / segments, k).otherwise(0) for k in range(segments)))
-        segment = F.when((F.col("_odd") == 0) & (F.col("_t1") > F.col("_t0")), timed).otherwise(counted)
-    else:
-        raise ValueError(f"mode: {mode}")
-    out = out.withColumn("_s", segment)
-    mean = lambda k: F.coalesce(F.avg(F.when(F.col("_s") == k, F.col("changed"))), F.lit(0.0)).alias(f"m{k}")
-    return out.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("kinds").alias("kinds"), *(mean(k) for k in range(segments)))
-
-
-def is_stable(thresholds: tuple[float, ...] = THRESHOLDS) -> Column:
-    out = F.lit(True)
-    for k, t in enumerate(thresholds):
-        out = out & (F.col(f"m{k}") < t)
-    return out
+    out, segment = _segments(flags, by, [mode], ordinal, time, segments)
+    out = out.withColumn("_s", segment[mode])
+    return out.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("kinds").alias("kinds"), *(_mean("_s", k).alias(f"m{k}") for k in range(segments)))
 
 
 def classify(flags: DataFrame, *by: str, mode: str = "count", ordinal: str = "ord", time: str | None = None, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(by, n, kinds, class). mode "both" asks for stability by counts and by time."""
+    """(by, n, kinds, class). mode "both" asks for stability by counts and by time, in one pass over the flags."""
     by = by or SERIES
-    names = ["count", "time"] if mode == "both" else [mode]
-    verdicts = [segment_means(flags, *by, mode=m, ordinal=ordinal, time=time, segments=len(thresholds)).select(*by, "n", "kinds", is_stable(thresholds).alias(f"stable_{m}")) for m in names]
-    out = verdicts[0]
-    if len(verdicts) > 1:
-        out = out.join(verdicts[1].drop("n", "kinds"), list(by))
-    stable = F.expr(" and ".join(f"stable_{m}" for m in names))
+    modes = ["count", "time"] if mode == "both" else [mode]
+    out, segment = _segments(flags, by, modes, ordinal, time, len(thresholds))
+    out = out.withColumns({f"_{m}": segment[m] for m in modes})
+    means = [_mean(f"_{m}", k).alias(f"{m}{k}") for m in modes for k in range(len(thresholds))]
+    out = out.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("kinds").alias("kinds"), *means)
+    stable = F.expr(" and ".join(f"{m}{k} < {t}D" for m in modes for k, t in enumerate(thresholds)))
     kind = F.when(F.col("n") < LEAST, SHORT).when(F.col("kinds") == 1, STATIC).when(F.col("kinds") == F.col("n"), RANDOM).when(stable, STABLE).otherwise(UNSTABLE)
     return out.select(*by, "n", "kinds", kind.alias("class"))
 

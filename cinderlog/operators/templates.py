@@ -178,5 +178,17 @@ def parse_templates(df: DataFrame, templates: Templates, content: str = "content
 
 
 def parse_tree(df: DataFrame, lines: list[str], content: str = "content") -> DataFrame:
-    """The tree matcher's rule: both sides without anything but letters and digits in the cheap tests, first match wins."""
-    return parse_templates(df, Templates.of(lines), content, not_found=TREE_NOT_FOUND)
+    """The tree matcher's rule: of both templates and text nothing but letters, digits and wildcards counts, so that variables
+    are what is left of them, too. Of several templates that fit, the first does."""
+    bare = lambda t: re.sub(r"[\W_]+", "", t)
+    text = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), r"(?U)[\W_]+", "")
+    case = None
+    for i, raw in enumerate(Templates.of(lines).raw):
+        parts = [bare(p) for p in raw.split(WILD)]
+        regex = "^" + "(.*?)".join(map(literal, parts)) + r"\z"
+        groups = F.array(*(F.regexp_extract(text, regex, g + 1) for g in range(len(parts) - 1))).cast("array<string>")
+        found = F.struct(F.lit(i).alias("EventID"), F.lit(raw).alias("template"), groups.alias("variables"))
+        case = (F if case is None else case).when(text.rlike(regex), found)
+    missing = F.struct(F.lit(-1).alias("EventID"), F.lit(TREE_NOT_FOUND).alias("template"), F.array().cast("array<string>").alias("variables"))
+    out = df.withColumn("_found", missing if case is None else case.otherwise(missing))
+    return out.withColumns({name: F.col(f"_found.{name}") for name in ("EventID", "template", "variables")}).drop("_found")

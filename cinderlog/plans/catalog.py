@@ -6,6 +6,8 @@ the records are training, the rest is scored.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +19,20 @@ from cinderlog.operators import detectors as d
 from cinderlog.operators import clustering, mining, stability
 from cinderlog.operators import sequences as s
 from cinderlog.operators.aggregation import concatenate
-from cinderlog.operators.header import parse_header
-from cinderlog.operators.history import last_templates, retained
+from cinderlog.operators.asking import mine_by_asking
+from cinderlog.operators.header import FORMATS, parse_header
+from cinderlog.operators.history import append, last_templates, load, retained, save
 from cinderlog.operators.jsonlog import parse_json
 from cinderlog.operators.order import phase, runs, sliding, tumbling, with_ordinal
-from cinderlog.operators.templates import Templates, parse_templates
+from cinderlog.operators.templates import Templates, parse_templates, parse_tree
 from cinderlog.operators.variables import all_variables
 from cinderlog.operators.variables import watched_variables as watched_rows
 from cinderlog.plans import lifecycle
 from cinderlog.plans.config import ANY_EVENT, watched_variables
+from cinderlog.runtime import shared_dir
+from cinderlog.sources.readers import from_frame, read_indexed_json, read_log, read_wire
+from cinderlog.sources.schemas import LOG, PARSED, conform, equal_messages, from_json_message, is_complete, read_field, to_json_message
+from cinderlog.sources.writers import wire_lines, write_json_lines
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 TEMPLATES = [f"{t} by user=<*> value=<*> k=<*>" for t in TYPES]
@@ -190,6 +197,14 @@ def bigram_chances(spark, sf_dir):
     return det.chances(watched_rows(test, det.watched).distinct()).select("event", "name", "value", F.round("chance", 9).alias("chance"))
 
 
+def bigram_defaults(spark, sf_dir):
+    """Chances with usual counts to fall back to for pairs that training, fifty records here, lacks."""
+    train, test = events_split(spark, sf_dir)
+    usual = spark.createDataFrame([(str(a), str(b), 1 + (a * b) % 5) for a in range(10) for b in range(10)], "a string, b string, n long")
+    det = d.BigramFrequency("Bigram", watch("var_1"), defaults=usual).fit(train.where(F.col("ord") < 50))
+    return det.chances(watched_rows(test, det.watched).distinct()).select("event", "name", "value", F.round("chance", 9).alias("chance"))
+
+
 def bigram_alerts(spark, sf_dir):
     train, test = events_split(spark, sf_dir)
     det = d.BigramFrequency("Bigram", watch("var_1"), threshold=0.11, once=False).fit(train)
@@ -227,6 +242,19 @@ def near_count_vectors(spark, sf_dir):
     return det.unusual(test).select(F.col("last_ord").alias("ord"), F.round("distance", 9).alias("distance"))
 
 
+def near_count_vectors_mean(spark, sf_dir):
+    """With a threshold from vectors of training that the model doesn't have."""
+    train, test = events_split(spark, sf_dir)
+    det = s.NearCountVectors("Near", 6, validation=0.4).fit(train)
+    return det.unusual(test).select(F.col("last_ord").alias("ord"), F.round("distance", 9).alias("distance"), F.round(F.lit(det.threshold), 9).alias("threshold"))
+
+
+def next_event(spark, sf_dir):
+    train, test = events_split(spark, sf_dir)
+    det = s.NextEvent("Next", 6).fit(train)
+    return det.ranks(s.windows(test, 6)).select(F.col("last_ord").alias("ord"), "rank", F.lit(det.top_k).alias("top_k"))
+
+
 def next_event_topk(spark, sf_dir):
     return _fit_and_score(s.NextEvent("Next", 6, top_k=3), spark, sf_dir)
 
@@ -316,8 +344,103 @@ def seq_length(spark, sf_dir):
 
 
 def history_retention(spark, sf_dir):
-    kept = retained(raw_logs(spark, sf_dir), 500)
-    return kept.select("ord", "logID")
+    return retained(parsed_logs(spark, sf_dir), 500).select("ord", "logID", F.col("EventID").alias("event_id"))
+
+
+def event_history(spark, sf_dir):
+    """Records appended to a history, a folder for each event, in two goes, and read back."""
+    path = _folder(spark, "history")
+    for part in events_split(spark, sf_dir):
+        append(path, part.select("ord", "EventID", "template", "variables"))
+    return spark.read.parquet(path).groupBy(F.col("EventID").cast("int").alias("event_id")).agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("last"), F.max_by(F.array_join("variables", "|"), "ord").alias("vars"))
+
+
+def saved_model(spark, sf_dir):
+    """A model that is saved, loaded again and scores."""
+    train, test = events_split(spark, sf_dir)
+    path = _folder(spark, "model")
+    save(spark, path, {"values": d.NewValue("NewValue", watch("var_1")).fit(train).model}, {"name": "NewValue"})
+    tables, about = load(spark, path)
+    return shown(d.NewValue(about["name"], watch("var_1"), tables["values"]).transform(test))
+
+
+def config_coverage(spark, sf_dir):
+    """Configured events that training lacks, and those without any of the watched variables."""
+    train, _ = events_split(spark, sf_dir)
+    watched = watch("var_0", events=(0, 1)) + watch("var_9", events=(2, 3)) + watch("var_0", events=(77,))
+    unseen, bare = d.coverage(d.NewValue("N", watched).fit(train).model, watched, train)
+    return spark.createDataFrame([(e, "unseen") for e in unseen] + [(e, "no variables") for e in bare], "event string, why string")
+
+
+# Sources and sinks
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def log_file(spark, sf_dir):
+    """Lines written as text, in order, and read back as records."""
+    path = _folder(spark, "lines")
+    raw_logs(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord").select("log").write.text(path)
+    return read_log(spark, path, "file", "here").select("ord", "logID", "log", "logSource", "hostname")
+
+
+def wire_file(spark, sf_dir):
+    """Parsed records as messages on the wire, a line each, and back."""
+    path = _folder(spark, "wire")
+    records = conform(parsed_logs(spark, sf_dir), PARSED, "ord")
+    wire_lines(records.repartitionByRange("ord").sortWithinPartitions("ord"), PARSED).write.text(path)
+    return read_wire(spark, path, PARSED).select("ord", "logID", F.col("EventID").alias("event_id"), "template", F.array_join("variables", "|").alias("vars"), F.element_at("logFormatVariables", "Time").alias("time"))
+
+
+def indexed_json_file(spark, sf_dir):
+    """One JSON object of numbered records, of a small table."""
+    rows = with_ordinal(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    entry = F.struct(F.col("ord").cast("string").alias("key"), F.struct(F.col("n_nationkey").cast("string").alias("logID"), F.col("n_name").alias("log")).alias("value"))
+    path = _folder(spark, "json")
+    rows.agg(F.to_json(F.map_from_entries(F.collect_list(entry)))).coalesce(1).write.text(path)
+    return read_indexed_json(spark, path, LOG).select("ord", "logID", "log")
+
+
+def json_lines_file(spark, sf_dir):
+    path = _folder(spark, "lines")
+    write_json_lines(conform(raw_logs(spark, sf_dir), LOG, "ord"), path)
+    return spark.read.schema("ord long, logID string, log string").json(path)
+
+
+def frame_records(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    frame = e.select("event_id", F.concat("event_type", F.lit(" by "), F.col("user_id").cast("string")).alias("Content"), F.lit(7).alias("EventIDs"), F.concat("event_type", F.lit(" by <*>")).alias("Templates"), F.array(F.col("user_id").cast("string")).alias("ParamList"), "props")
+    return from_frame(frame, "event_id").select("ord", "log", F.col("EventID").alias("event_id"), "template", F.array_join("variables", "|").alias("vars"), F.element_at("logFormatVariables", "props").alias("props"), F.size("logFormatVariables").cast("long").alias("fields"))
+
+
+def message_fields(spark, sf_dir):
+    """Records as messages: presence, defaults of what is absent, and JSON there and back."""
+    logs = conform(raw_logs(spark, sf_dir), LOG, "ord")
+    back = from_json_message(to_json_message(LOG), LOG)
+    same = logs.withColumns({"a": F.struct(*LOG.fieldNames()), "b": back})
+    return same.select("ord", is_complete(LOG).alias("complete"), read_field(LOG, "hostname").alias("host"), read_field(LOG, "log").alias("log"), equal_messages("a", "b", LOG).alias("same"), F.col("__version__").alias("version"))
+
+
+def audit_format(spark, sf_dir):
+    """A header by a format of the catalogue."""
+    out = parse_header(raw_logs(spark, sf_dir), FORMATS["audit"])
+    field = lambda n: F.element_at("logFormatVariables", n).alias(n.lower())
+    return out.select("ord", *map(field, ("Type", "Time", "Content")))
+
+
+def tree_match(spark, sf_dir):
+    logs = parse_header(raw_logs(spark, sf_dir), FORMAT)
+    out = parse_tree(logs, TEMPLATES[:3])
+    return out.select("ord", F.col("EventID").alias("event_id"), "template", F.array_join("variables", "|").alias("vars"))
+
+
+def lifecycle_run(spark, sf_dir):
+    """Records handed to a detector one life long: training, then detection."""
+    parsed = parsed_logs(spark, sf_dir)
+    n = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
+    return shown(lifecycle.run(d.NewValue("NewValue", watch("var_1")), parsed, train=n * 4 // 5))
 
 
 def last_template(spark, sf_dir):
@@ -337,6 +460,23 @@ def cluster_lines(spark, sf_dir):
     return clustering.cluster_lines(parse_header(raw_logs(spark, sf_dir), FORMAT).select("ord", F.col("content").alias("log"))).groupBy("chunk", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mean_shift_lines(spark, sf_dir):
+    lines = parse_header(raw_logs(spark, sf_dir), FORMAT).select("ord", F.col("content").alias("log"))
+    return clustering.cluster_lines(lines, method="mean_shift").groupBy("chunk", "cluster").agg(F.count(F.lit(1)).alias("n")).select("chunk", "n")
+
+
+def asked_templates(spark, sf_dir):
+    """Templates from a function in the place of a language model: it puts the first sample's numbers in placeholders."""
+    lines = parse_header(raw_logs(spark, sf_dir), FORMAT).select(F.col("content").alias("log"))
+    ask = lambda samples, variables: "`" + re.sub("[0-9.-]+", "{{n}}", samples[0]) + "`"
+    return mine_by_asking(lines, ask)[1]
+
+
+def line_keys(spark, sf_dir):
+    lines = parse_header(raw_logs(spark, sf_dir), FORMAT).select(F.col("content").alias("log"))
+    return lines.groupBy(mining.cache_key(F.col("log")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def line_words(spark, sf_dir):
     lines = parse_header(raw_logs(spark, sf_dir), FORMAT).select(mining.words(F.col("content")).alias("w"))
     return lines.groupBy(F.array_join("w", " ").alias("words")).agg(F.count(F.lit(1)).alias("n"))
@@ -344,11 +484,12 @@ def line_words(spark, sf_dir):
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     header_parse, header_unmatched, template_match, template_match_udf, template_not_found, template_counts, url_template, json_parse, time_normalise,
-    new_event, new_value, new_value_global, new_value_combo, value_range, charset, bigram_chances, bigram_alerts, rules, random_detector, numeric_filter,
-    event_sequence, count_vectors, near_count_vectors, next_event_topk, masked_events,
+    new_event, new_value, new_value_global, new_value_combo, value_range, charset, bigram_chances, bigram_defaults, bigram_alerts, rules, random_detector, numeric_filter,
+    event_sequence, count_vectors, near_count_vectors, near_count_vectors_mean, next_event, next_event_topk, masked_events,
     ordinals, phase_units, tumbling_windows, sliding_windows, run_lengths, alert_concat,
     stability_means, stability_means_time, stability_classes, stability_range, stability_charset, auto_new_value, seq_length,
-    history_retention, last_template, mine_templates, coarse_groups, cluster_lines, line_words,
+    history_retention, event_history, saved_model, config_coverage, last_template, mine_templates, asked_templates, coarse_groups, cluster_lines, mean_shift_lines, line_keys, line_words,
+    log_file, wire_file, indexed_json_file, json_lines_file, frame_records, message_fields, audit_format, tree_match, lifecycle_run,
 ]
 
 
@@ -396,6 +537,18 @@ wx as (select * from w where c = {size} and first_ord >= (select any_value(n) fr
 
 _VECTOR = "[len(list_filter(events, lambda q: q = p)) for p in range(-1, 5)]"
 
+#: The first 13 hex digits of an MD5, as a number from 0 to below 1.
+_CHANCE = "(('0x' || substr(md5({0}), 1, 13))::bigint * pow(2, -52))"
+#: Least distance of each vector of one table to those of another.
+_NEAREST = """{out} as (select a.vec, min(list_sum(list_transform(range(1, 7), lambda p: abs(a.vec[p] - w.vec[p])))::double / list_sum(list_transform(range(1, 7), lambda p: greatest(a.vec[p], w.vec[p])))) d
+  from {left} a, {right} w group by 1)"""
+_NEXT = """{fields}, {windows}, tr as (select *, {aside} aside from wt),
+ex as (select part, events, n, case when n = 0 then '' else array_to_string(events[6 - n:5], ',') end context, events[6] ev from (
+  select part, events, unnest([0, 1, 2]) n from (select 'm' part, events from tr where not aside union all select 'a', events from tr where aside union all select 'x', events from wx))),
+model as (select n, context, ev, row_number() over (partition by n, context order by count(*) desc, ev) rank from ex where part = 'm' group by n, context, ev),
+longest as (select distinct on (events) events, n, context, ev from (select distinct events, n, context, ev from ex where (n, context) in (select n, context from model)) order by events, n desc),
+ranks as (select l.events, m.rank from longest l left join model m on l.n = m.n and l.context = m.context and l.ev = m.ev)"""
+
 _SEQ_CLASSES = " union all ".join(
     f"""select {n} len, {_CLASS.format(_STABLE)} class from (select count(*) n, max(kinds) kinds, {_MEANS} from (select *, {_COUNTED} s from (
   select *, sum(changed) over () kinds, row_number() over (order by ord) - 1 i, count(*) over () n from (
@@ -404,6 +557,12 @@ _SEQ_CLASSES = " union all ".join(
     for n in range(2, 8)
 )
 
+_NEW_VALUE = _variable_alerts("NewValue", "select ord, 'EventID ' || ev || ' - var_1' as key, 'Unknown value: ''' || v || '''' as message from x where (ev, v) not in (select ev, v from t)")
+_LINE = f"'type=' || ty || ' msg=audit(' || secs || ':' || ord || '): ' || {_CONTENT}"
+_TREE_VARS = "u || '|' || replace(replace(v, '.', ''), '-', '') || '|' || k"
+_MINED = """, c as (select ty || ' by user=<*> value=<*> k=<*>' template, count(*) occurrences from e group by 1)
+select template, occurrences, 'E' || row_number() over (order by occurrences desc, template) "EventId" from c"""
+
 ORACLES: dict[str, str] = {
     "header_parse": f"with {_FIELDS} select ord, ty \"type\", secs::varchar \"time\", ord::varchar line, {_CONTENT} content, 'CoreParser_' || (ord + 10) \"parsedLogID\" from e",
     "header_unmatched": f"with {_FIELDS} select case when ty = 'error' then 3 else 1 end::bigint fields, ty <> 'error' whole_log, count(*) n from e group by all",
@@ -417,9 +576,9 @@ select template, occurrences, 'E' || row_number() over (order by occurrences des
     "json_parse": f"with {_FIELDS} select ord, ev event_id, u::varchar var_0, secs::varchar \"time\", u::varchar who, props from e join events on ord = event_id",
     "time_normalise": "select event_id ord, case when event_id % 8 < 6 then epoch(date_trunc('second', ts))::bigint when event_id % 8 = 6 then epoch(date_trunc('second', ts))::bigint - 7200 else 0 end \"seconds\" from events",
     "new_event": f"""with o as (select o_orderkey k, o_custkey c, row_number() over (order by o_orderkey) - 1 ord, count(*) over () n from orders),
-x as (select ord, k, c from o where ord >= n * 4 // 5 and c not in (select c from o where ord < n * 4 // 5 and ord % 2 = 0))
+x as (select ord, k, c from o where ord >= n * 4 // 5 and c not in (select c from o where ord < n * 4 // 5))
 select ord, {_IDS.format("NewEvent")}, k::varchar log_ids, 1::double score, 'EventID ' || c || ' - {{}}=Unknown event ID: ''' || c || '''' found from x""",
-    "new_value": _variable_alerts("NewValue", "select ord, 'EventID ' || ev || ' - var_1' as key, 'Unknown value: ''' || v || '''' as message from x where (ev, v) not in (select ev, v from t)"),
+    "new_value": _NEW_VALUE,
     "new_value_global": _variable_alerts("NewValue", """select ord, 'Global - Line' as key, 'Unknown value: ''' || ord || '''' as message from x
   union all select ord, 'EventID ' || ev || ' - var_2', 'Unknown value: ''' || k || '''' from x where (ev, k) not in (select ev, k from t)"""),
     "new_value_combo": _variable_alerts("Combo", "select ord, 'EventID ' || ev || ' - var_0, var_2' as key, 'Unknown value combination: (''' || u || ''', ''' || k || ''')' as message from x where (ev, u, k) not in (select ev, u, k from t)"),
@@ -439,6 +598,12 @@ pp as (select ev, unnest(range(0, len(v) + 1)) i, v from p), pc as (select ev, c
 pr as (select ev, a, b, n / sum(n) over (partition by ev, a) pr from pc),
 qq as (select ev, v, unnest(range(0, len(v) + 1)) i from q), qc as (select ev, v, case when i = 0 then '' else v[i] end a, case when i = len(v) then '' else v[i + 1] end b from qq)
 select qc.ev::varchar event, 'var_1' "name", v "value", round(avg(coalesce(pr, 0)), 9) chance from qc left join pr on qc.ev = pr.ev and qc.a = pr.a and qc.b = pr.b group by qc.ev, v""",
+    "bigram_defaults": f"""with {_FIELDS}, p as (select distinct ev, v from t where ord < 50), q as (select distinct ev, v from x where ev in (select ev from p)),
+pp as (select ev, unnest(range(0, len(v) + 1)) i, v from p), pc as (select ev, case when i = 0 then '' else v[i] end a, case when i = len(v) then '' else v[i + 1] end b, count(*) n from pp group by all),
+pr as (select ev, a, b, n / sum(n) over (partition by ev, a) pr from pc),
+us as (select a::varchar a, b::varchar b, n / sum(n) over (partition by a) pr from (select a, b, 1 + (a * b) % 5 n from range(10) x(a), range(10) y(b))),
+qq as (select ev, v, unnest(range(0, len(v) + 1)) i from q), qc as (select ev, v, case when i = 0 then '' else v[i] end a, case when i = len(v) then '' else v[i + 1] end b from qq)
+select qc.ev::varchar event, 'var_1' "name", v "value", round(avg(coalesce(pr.pr, us.pr, 0)), 9) chance from qc left join pr on qc.ev = pr.ev and qc.a = pr.a and qc.b = pr.b left join us on qc.a = us.a and qc.b = us.b group by qc.ev, v""",
     "bigram_alerts": f"""with {_FIELDS}, pp as (select ev, unnest(range(0, len(v) + 1)) i, v from t), pc as (select ev, case when i = 0 then '' else v[i] end a, case when i = len(v) then '' else v[i + 1] end b, count(*) n from pp group by all),
 pr as (select ev, a, b, n / sum(n) over (partition by ev, a) pr from pc),
 qq as (select ord, ev, v, unnest(range(0, len(v) + 1)) i from x), qc as (select ord, ev, case when i = 0 then '' else v[i] end a, case when i = len(v) then '' else v[i + 1] end b from qq),
@@ -457,11 +622,28 @@ select ord, {_IDS.format("Sequence")}, array_to_string(ids, ',') log_ids, 1::dou
   'Sequence (' || array_to_string(events, ', ') || ')=EventID sequence of length 6 ending at logID ' || ord || ' was not seen during training.' found from f""",
     "count_vectors": f"""with {_FIELDS}, {_windows(6)}, f as (select * from wx where {_VECTOR} not in (select {_VECTOR} from wt))
 select ord, {_IDS.format("Vectors")}, array_to_string(ids, ',') log_ids, 1::double score, 'Count vector=Count vector not found' found from f""",
-    "near_count_vectors": f"""with {_FIELDS}, y as (select * from e where ord < n * 4 // 5 and ord % 1000 < 100),
-wy as (select distinct {_VECTOR} vec from (select y.ord, list(z.ev) events, count(*) c from y join y z on z.ord between y.ord - 5 and y.ord group by y.ord) where c = 6),
-{_windows(6)}, q as (select ord, {_VECTOR} vec from wx), u as (select distinct vec from q),
-dist as (select u.vec, min(list_sum(list_transform(range(1, 7), lambda p: abs(u.vec[p] - wy.vec[p])))::double / list_sum(list_transform(range(1, 7), lambda p: greatest(u.vec[p], wy.vec[p])))) d from u, wy group by 1)
+    "near_count_vectors": f"""with {_FIELDS}, {_windows(6)}, k as (select distinct {_VECTOR} vec from wt), q as (select ord, {_VECTOR} vec from wx),
+u as (select distinct vec from q), {_NEAREST.format(out="dist", left="u", right="k")}
 select ord, round(d, 9) distance from q join dist on q.vec = dist.vec where d > 0""",
+    "near_count_vectors_mean": f"""with {_FIELDS}, {_windows(6)}, every as (select distinct {_VECTOR} vec from wt),
+placed as (select vec, row_number() over (order by md5(array_to_string(vec[1:list_max(list_transform(range(1, 7), lambda p: case when vec[p] > 0 or p <= 2 then p else 0 end))], ',')), vec) - 1 o, count(*) over () n from every),
+k as (select vec from placed where o < ceil(n * 0.6)), rest as (select vec from placed where o >= ceil(n * 0.6)),
+{_NEAREST.format(out="dist", left="rest", right="k")}, th as (select coalesce(avg(d), 0) t from dist),
+q as (select ord, {_VECTOR} vec from wx), u as (select distinct vec from q), {_NEAREST.format(out="dist2", left="u", right="k")}
+select ord, round(d, 9) distance, round(t, 9) threshold from q join dist2 on q.vec = dist2.vec, th where d > t""",
+    "next_event": f"""with {_NEXT.format(aside=_CHANCE.format('first_ord::varchar') + " < 0.2", fields=_FIELDS, windows=_windows(6))},
+asked as (select r.rank from (select * from tr where aside) v join ranks r on v.events = r.events),
+top as (select min(rank) + 2 top_k from (select rank, count(*) c, max(count(*)) over () m from asked where rank is not null group by rank) where c = m)
+select ord, rank::int rank, top_k::int top_k from wx join ranks using (events), top""",
+    "next_event_topk": f"""with {_NEXT.format(aside="false", fields=_FIELDS, windows=_windows(6))}, f as (select * from wx join ranks using (events) where coalesce(rank, 1000000) > 3)
+select ord, {_IDS.format("Next")}, array_to_string(ids, ',') log_ids, 1::double score, 'Sequence=Next found an unlikely event' found from f""",
+    "masked_events": f"""with {_FIELDS}, {_windows(6)}, pl as (select 't' part, ord, first_ord, events, ids, unnest(range(0, 6)) place from wt union all select 'x', ord, first_ord, events, ids, unnest(range(0, 6)) from wx),
+pe as (select *, case when place = 0 then -2 else events[place] end bef, events[place + 1] ev, case when place = 5 then -2 else events[place + 2] end aft from pl),
+known as (select bef, aft, ev from (select bef, aft, ev, row_number() over (partition by bef, aft order by count(*) desc, ev) r from pe where part = 't' group by bef, aft, ev) where r <= 3),
+f as (select distinct ord, ids from pe where part = 'x' and {_CHANCE.format("first_ord::varchar || '|' || place::varchar || '|0'")} < 0.4 and (bef, aft, ev) not in (select bef, aft, ev from known))
+select ord, {_IDS.format("Masked")}, array_to_string(ids, ',') log_ids, 1::double score, 'Sequence=Masked found unlikely events' found from f""",
+    "random_detector": f"""with {_FIELDS}, f as (select * from e where {_CHANCE.format("ord::varchar || '|' || ev::varchar || '|var_0|0'")} > 0.99)
+select ord, {_ALERT.format("Random")}, 1::double score, 'EventID ' || ev || ' - var_0=1.0' found from f""",
     "ordinals": "select o_orderkey, row_number() over (order by o_custkey, o_orderkey) - 1 ord from orders",
     "phase_units": "select case when event_id < 100 then 'configure' when event_id < 800 then 'train' else 'detect' end phase, count(*) n, min(event_id) \"first\" from events group by 1",
     "tumbling_windows": "select event_id // 7 \"window\", min(event_id) first_ord, string_agg(user_id::varchar, ',' order by event_id) users from events group by 1",
@@ -477,7 +659,7 @@ from a window r as (order by ord rows between 2 preceding and current row) quali
     "stability_classes": f"""with {_FIELDS}, {_LONG}, {_SERIES_COUNT}, {_SERIES_TIME},
 v as (select c.event, c."name", c.n, c.kinds, (c.m0 < 1.1 and c.m1 < 0.3 and c.m2 < 0.1 and c.m3 < 0.01) and (c2.m0 < 1.1 and c2.m1 < 0.3 and c2.m2 < 0.1 and c2.m3 < 0.01) ok from c join c2 on c.event = c2.event and c."name" = c2."name")
 select event, "name", {_CLASS.format('ok')} "class" from v""",
-    "stability_range": f"""with {_FIELDS}, {_LONG}, f as (select event, "name", ord, "value"::double x from l where "name" in ('var_0', 'var_1')),
+    "stability_range": f"""with {_FIELDS}, {_LONG}, f as (select event, "name", ord, try_cast("value" as double) x from l where try_cast("value" as double) is not null),
 g as (select *, coalesce(x < min(x) over p or x > max(x) over p, true)::int changed, row_number() over (partition by event, "name" order by ord) - 1 i, count(*) over (partition by event, "name") n,
   case when min(x) over (partition by event, "name") = max(x) over (partition by event, "name") then 1 else 2 end kinds from f window p as (partition by event, "name" order by ord rows between unbounded preceding and 1 preceding)),
 c as (select event, "name", count(*) n, max(kinds) kinds, {_MEANS} from (select *, {_COUNTED} s from g) group by all)
@@ -488,12 +670,35 @@ g as (select l.event, l."name", l.ord, (fl.k is not null)::int changed, sum(coal
   from l left join fl on l.event = fl.event and l."name" = fl."name" and l.ord = fl.ord),
 c as (select event, "name", count(*) n, max(kinds)::bigint kinds, {_MEANS} from (select *, {_COUNTED} s from g) group by all)
 select event, "name", kinds, {_CLASS.format(_STABLE)} "class" from c""",
-    "auto_new_value": f"""with {_FIELDS}, ep as (select *, 'v' || (ord * 4 // n) q from e), l as (select ord, ev::varchar event, 'Epoch' "name", q "value" from ep where ord < n // 2), {_SERIES_COUNT},
-ok as (select event from (select event, {_CLASS.format(_STABLE)} cl from c) where cl in ('STABLE', 'STATIC')),
-m as (select distinct ev, q from ep where ord < n // 2 + n // 4), a as (select * from ep where ord >= n // 2 + n // 4 and ev::varchar in (select event from ok) and (ev, q) not in (select ev, q from m) and ev in (select ev from m))
-select ord, {_ALERT.format("Auto")}, 1::double score, 'EventID ' || ev || ' - Epoch=Unknown value: ''' || q || '''' found from a""",
+    "auto_new_value": f"""with {_FIELDS}, a0 as (select ord, n, ev::varchar event, unnest(['var_0','var_1','var_2','Type','Time','Line','Epoch']) "name",
+  unnest([u::varchar, v, k, ty, secs::varchar, ord::varchar, 'v' || (ord * 4 // n)]) "value" from e),
+l as (select ord, event, "name", "value" from a0 where ord < n // 2), {_SERIES_COUNT},
+ok as (select event, "name" from (select event, "name", {_CLASS.format(_STABLE)} cl from c) where cl in ('STABLE', 'STATIC')),
+m as (select distinct event, "name", "value" from a0 where ord < n // 2 + n // 4),
+found as (select ord, 'EventID ' || event || ' - ' || "name" as key, 'Unknown value: ''' || "value" || '''' as message from a0
+  where ord >= n // 2 + n // 4 and (event, "name") in (select event, "name" from ok) and (event, "name") in (select event, "name" from m) and (event, "name", "value") not in (select event, "name", "value" from m))
+select ord, {_ALERT.format("Auto")}, n::double score, found from (select ord, count(*) n, string_agg(key || '=' || message, '; ' order by key, message) found from found group by ord)""",
     "seq_length": f"with {_FIELDS} select max(len)::int length from ({_SEQ_CLASSES}) where class in ('STABLE', 'STATIC')",
-    "history_retention": "select event_id ord, event_id::varchar \"logID\" from events where event_id >= (select count(*) from events) - 500",
+    "history_retention": f"with {_FIELDS} select ord, ord::varchar \"logID\", ev event_id from e qualify row_number() over (partition by ev order by ord desc) <= 500",
+    "event_history": f"with {_FIELDS} select ev event_id, count(*) n, max(ord) \"last\", max_by(u || '|' || v || '|' || k, ord) vars from e group by ev",
+    "saved_model": _NEW_VALUE,
+    "lifecycle_run": _NEW_VALUE,
+    "config_coverage": "select * from (values ('2', 'no variables'), ('3', 'no variables'), ('77', 'unseen')) t(event, why)",
+    "log_file": f"with {_FIELDS} select ord, ord::varchar \"logID\", {_LINE} log, 'file' \"logSource\", 'here' hostname from e",
+    "json_lines_file": f"with {_FIELDS} select ord, ord::varchar \"logID\", {_LINE} log from e",
+    "wire_file": f"with {_FIELDS} select ord, ord::varchar \"logID\", ev event_id, ty || ' by user=<*> value=<*> k=<*>' template, u || '|' || v || '|' || k vars, secs::varchar \"time\" from e",
+    "indexed_json_file": "select row_number() over (order by n_nationkey) - 1 ord, n_nationkey::varchar \"logID\", n_name log from nation",
+    "frame_records": "select event_id ord, event_type || ' by ' || user_id log, 7 event_id, event_type || ' by <*>' template, user_id::varchar vars, props, 2::bigint fields from events",
+    "message_fields": f"with {_FIELDS} select ord, false complete, '' host, {_LINE} log, true same, '1.0.0' \"version\" from e",
+    "audit_format": f"with {_FIELDS} select ord, ty \"type\", secs || ':' || ord \"time\", {_CONTENT} content from e",
+    "tree_match": f"with {_FIELDS} select ord, case when ev < 3 then ev else -1 end::int event_id, case when ev < 3 then ty || ' by user=<*> value=<*> k=<*>' else 'template not found' end template, case when ev < 3 then {_TREE_VARS} else '' end vars from e",
+    "mine_templates": f"with {_FIELDS} {_MINED}",
+    "asked_templates": f"with {_FIELDS} {_MINED}",
+    "coarse_groups": f"""with {_FIELDS}, g as (select array_to_string(list_sort([ty, 'user', 'value']), ' ') coarse, case when contains(v, '-') then '-.=' else '.=' end marks from e)
+select coarse, coarse || ' | ' || marks fine, count(*) n from g group by all""",
+    "cluster_lines": f"with {_FIELDS}, c as (select ord // 30000 chunk, ty, count(*) n, min(ord) f from e group by all) select chunk, (row_number() over (partition by chunk order by f) - 1)::int \"cluster\", n from c",
+    "mean_shift_lines": f"with {_FIELDS} select ord // 30000 chunk, count(*) n from e group by chunk, ty",
+    "line_keys": f"with {_FIELDS} select sha256(regexp_replace(regexp_replace(regexp_replace({_CONTENT}, '[0-9]', '', 'g'), '[/:,._-]+', '', 'g'), '\\s', '', 'g')) \"key\", count(*) n from e group by 1",
     "last_template": f"with {_FIELDS} select ev event_id, any_value(ty) || ' by user=<*> value=<*> k=<*>' template from e group by ev",
     "line_words": f"with {_FIELDS} select ty || ' by user value k' words, count(*) n from e group by 1",
 }

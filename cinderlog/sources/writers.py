@@ -11,10 +11,13 @@ import os
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlog.runtime import on_workers
 from cinderlog.sources.readers import read_any
 from cinderlog.sources.schemas import LOG
 from cinderlog.sources.wire import encode
@@ -56,6 +59,20 @@ def write_indexed_yaml(df: DataFrame, path: str, schema: T.StructType) -> None:
     _append_indexed(path, _records(df, schema), yaml.safe_load, lambda x, f: yaml.safe_dump(x, f, sort_keys=False), int)
 
 
+def wire_lines(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """(value): the printed bytes of each record's message, in df's own order, made side by side."""
+    on_workers(df.sparkSession)
+    names = [f.name for f in schema if f.name in df.columns]
+    packed = df.select(F.struct(*names).alias("m"))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = x.column(0).to_pylist(maps_as_pydicts="strict")
+            yield pa.RecordBatch.from_arrays([pa.array([repr(encode({k: v for k, v in r.items() if v is not None}, schema)) for r in rows], pa.string())], ["value"])
+
+    return packed.mapInArrow(lines, "value string")
+
+
 def write_wire(df: DataFrame, path: str, schema: T.StructType) -> None:
     """Add the printed bytes of each record's message, a line each."""
     with open(path, "a", encoding="utf-8") as f:
