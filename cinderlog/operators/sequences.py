@@ -156,8 +156,7 @@ class NearCountVectors(WindowDetector):
         """(vector, distance): the least distance to the model's vectors; null without any. vectors are few and different, as
         the counts of `size` records over a few events are; so is the model.
 
-        Windows of one size have vectors of one sum, and of such two the distance is 1 - shared / (2 * sum - shared): the
-        nearest shares the most. Vectors meet those of the model that share an event with them, entry by entry, and only sums
+        Of two vectors the sum of lesser parts, shared, tells the distance: (sums - 2 * shared) / (sums - shared). Vectors meet those of the model that share an event with them, entry by entry, and only sums
         of shared counts are kept; one that shares none is at distance 1."""
         entries = lambda v: F.filter(F.transform(v, lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda e: e["n"] > 0)
         total = lambda v: F.aggregate(v, F.lit(0), lambda s, n: s + n)
@@ -165,7 +164,7 @@ class NearCountVectors(WindowDetector):
         right = self.model.select(F.col("vector").alias("known"), F.explode(entries(F.col("vector"))).alias("e")).select("known", F.col("e.i").alias("j"), F.col("e.n").alias("m"))
         met = left.join(right, F.col("i") == F.col("j")).groupBy("vector", "known").agg(F.sum(F.least("n", "m")).alias("shared"))
         both = total(F.col("vector")) + total(F.col("known"))
-        near = met.groupBy("vector").agg(F.min(1 - F.col("shared") / (both - F.col("shared"))).alias("near"))
+        near = met.groupBy("vector").agg(F.min((both - 2 * F.col("shared")) / (both - F.col("shared"))).alias("near"))
         some = F.lit(None).cast("double") if self.model.isEmpty() else F.lit(1.0)
         near = near.withColumnRenamed("vector", "_met")
         return vectors.join(near, F.col("vector") == F.col("_met"), "left").select("vector", F.coalesce("near", some).alias("distance"))
@@ -174,7 +173,8 @@ class NearCountVectors(WindowDetector):
         full = windows(parsed, self.size).withColumn("vector", count_vector(F.col("events")))
         # Vectors of training are at distance 0, which no threshold is below.
         new = full.select("vector").distinct().join(self.model, "vector", "left_anti")
-        return full.join(self.distances(new).where(F.col("distance") > self.threshold), "vector")
+        # A mean of equal distances may miss them by rounding.
+        return full.join(self.distances(new).where(F.col("distance") > self.threshold + 1e-12), "vector")
 
     def transform(self, parsed: DataFrame) -> DataFrame:
         text = "ECVC found an anominal sequence"

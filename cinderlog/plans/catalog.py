@@ -630,7 +630,7 @@ placed as (select vec, row_number() over (order by md5(array_to_string(vec[1:lis
 k as (select vec from placed where o < ceil(n * 0.6)), rest as (select vec from placed where o >= ceil(n * 0.6)),
 {_NEAREST.format(out="dist", left="rest", right="k")}, th as (select coalesce(avg(d), 0) t from dist),
 q as (select ord, {_VECTOR} vec from wx), u as (select distinct vec from q), {_NEAREST.format(out="dist2", left="u", right="k")}
-select ord, round(d, 9) distance, round(t, 9) threshold from q join dist2 on q.vec = dist2.vec, th where d > t""",
+select ord, round(d, 9) distance, round(t, 9) threshold from q join dist2 on q.vec = dist2.vec, th where d > t + 1e-12""",
     "next_event": f"""with {_NEXT.format(aside=_CHANCE.format('first_ord::varchar') + " < 0.2", fields=_FIELDS, windows=_windows(6))},
 asked as (select r.rank from (select * from tr where aside) v join ranks r on v.events = r.events),
 top as (select min(rank) + 2 top_k from (select rank, count(*) c, max(count(*)) over () m from asked where rank is not null group by rank) where c = m)

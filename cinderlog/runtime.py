@@ -33,9 +33,12 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset (local tests), one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own, if driver and executors
+    are one process (local tests); on a cluster, whose machines don't share local folders, RuntimeError."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir: name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="cinderlog-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
