@@ -15,6 +15,20 @@ def literal(text: str) -> str:
     return "".join("\\" + c if c in MEANS else c for c in text)
 
 
+#: A character that stands between groups while they are cut out of a text.
+_CUT = "\x01"
+
+
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """array<string> of the n groups of a pattern that matches the whole text, by matching it once. Texts that hold the character
+    used to cut take one match a group."""
+    if n == 0:
+        return F.array().cast("array<string>")
+    once = F.split(F.regexp_replace(text, pattern, _CUT.join(f"${g}" for g in range(1, n + 1))), _CUT, -1)
+    each = F.array(*(F.regexp_extract(text, pattern, g) for g in range(1, n + 1)))
+    return F.when(F.contains(text, F.lit(_CUT)), each).otherwise(once)
+
+
 def squeeze(text: Column) -> Column:
     """Trimmed, with each run of white space as one space."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")

@@ -41,8 +41,8 @@ def with_origin(parsed: DataFrame) -> DataFrame:
 
 @dataclass
 class Detector:
-    """name, watched: as configured. fit(parsed) makes the model; transform(parsed) gives alerts of parsed records
-    (ord, logID, EventID, variables, logFormatVariables)."""
+    """name, watched: as configured. fit(parsed) makes the model and writes it, so that scoring doesn't learn it again;
+    transform(parsed) gives alerts of parsed records (ord, logID, EventID, variables, logFormatVariables)."""
 
     name: str
     watched: list[Watched]
@@ -51,7 +51,7 @@ class Detector:
     description: ClassVar[str] = "{name} detects values not encountered in training as anomalies."
 
     def fit(self, parsed: DataFrame) -> Detector:
-        self.model = self.learn(watched_variables(parsed, self.watched))
+        self.model = durable(self.learn(watched_variables(parsed, self.watched)), self.kind)
         return self
 
     def learn(self, values: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ class NewEvent(Detector):
     kind: ClassVar[str] = "new_event_detector"
 
     def fit(self, parsed: DataFrame) -> NewEvent:
-        self.model = parsed.select(F.col("EventID").cast("string").alias("event")).distinct()
+        self.model = durable(parsed.select(F.col("EventID").cast("string").alias("event")).distinct(), self.kind)
         return self
 
     def scored_records(self, parsed: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ class NewValueCombo(Detector):
     kind = "new_value_combo_detector"
 
     def fit(self, parsed: DataFrame) -> NewValueCombo:
-        self.model = combinations(parsed, self.watched).select("event", "instance", "name", "value").distinct()
+        self.model = durable(combinations(parsed, self.watched).select("event", "instance", "name", "value").distinct(), self.kind)
         return self
 
     def findings(self, parsed: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ class BigramFrequency(Detector):
     description: ClassVar[str] = "{name} anomalies in the bigram frequencies."
 
     def fit(self, parsed: DataFrame) -> BigramFrequency:
-        self.model = self.learn(watched_variables(parsed, self.watched, "ord"))
+        self.model = durable(self.learn(watched_variables(parsed, self.watched, "ord")), self.kind)
         return self
 
     def learn(self, values: DataFrame) -> DataFrame:
@@ -319,9 +319,3 @@ def coverage(model_events: DataFrame, watched: list[Watched], seen: DataFrame) -
     events = {r[0] for r in seen.select(F.col("EventID").cast("string")).where(F.col("EventID").cast("string").isin(*wanted)).distinct().collect()} if wanted else set()
     modelled = {r[0] for r in model_events.select("event").where(F.col("event").isin(*wanted)).distinct().collect()} if wanted else set()
     return [e for e in wanted if e not in events], [e for e in wanted if e in events and e not in modelled]
-
-
-def keep(detector: Detector) -> Detector:
-    """The detector with its model written, so that scoring doesn't learn it again."""
-    detector.model = durable(detector.model, detector.kind)
-    return detector

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions.timestamps import to_seconds
-from cinderlog.operators.templates import Templates, match
+from cinderlog.operators.templates import Templates, with_match
 from cinderlog.runtime import on_workers
 
 
@@ -93,7 +93,7 @@ def parse_json(df: DataFrame, templates: Templates | None = None, *, log: str =
     time = F.create_map(F.lit("Time"), to_seconds(F.col("_json.time"), time_format).cast("string"))
     fields = F.map_concat(F.map_filter("_json.fields", lambda k, _: k != "Time"), time)
     has = F.coalesce(F.col("_json.content"), F.lit("")) != ""
-    out = read.withColumns({"logFormatVariables": fields, "_found": F.when(has, match(F.col("_json.content"), templates or Templates([])))})
+    out = with_match(read.withColumn("logFormatVariables", fields), F.col("_json.content"), templates or Templates([]), "_found")
     pick = lambda name, unmatched, absent: F.when(has, F.coalesce(f"_found.{name}", unmatched)).otherwise(absent)
     none = F.array().cast("array<string>")
     return out.withColumns({"EventID": pick("EventID", F.lit(-1), F.lit(0)), "template": pick("template", F.lit("<Not Found>"), F.lit("")), "variables": pick("variables", none, none)}).drop("_json", "_found")

@@ -75,7 +75,7 @@ class EventSequence(WindowDetector):
     kind = "event_sequence_detector"
 
     def fit(self, parsed: DataFrame) -> EventSequence:
-        self.model = windows(parsed, self.size).select("events").distinct()
+        self.model = durable(windows(parsed, self.size).select("events").distinct(), self.kind)
         return self
 
     def unusual(self, parsed: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ class CountVectors(WindowDetector):
     kind = "scvs_detector"
 
     def fit(self, parsed: DataFrame) -> CountVectors:
-        self.model = windows(parsed, self.size).select(count_vector(F.col("events")).alias("vector")).distinct()
+        self.model = durable(windows(parsed, self.size).select(count_vector(F.col("events")).alias("vector")).distinct(), self.kind)
         return self
 
     def unusual(self, parsed: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ class NearCountVectors(WindowDetector):
         full = durable(with_ordinal(every.withColumn("_h", spread), "_h", "vector", ordinal="_o"), "vectors")
         n = full.count()
         kept = F.ceil(F.lit(n) * (1 - self.validation))
-        self.model = full.where(F.col("_o") < kept).select("vector")
+        self.model = durable(full.where(F.col("_o") < kept).select("vector"), self.kind)
         rest = full.where(F.col("_o") >= kept).select("vector")
         if self.method == "default":
             self.threshold = 0.0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.functions.text import literal, squeeze, strip
+from cinderlog.functions.text import groups, literal, squeeze, strip
 from cinderlog.runtime import on_workers
 
 #: Templates up to which a CASE expression is used.
@@ -127,7 +127,19 @@ def pattern(template: str) -> str:
 
 def match(content: Column, templates: Templates) -> Column:
     """Struct (EventID, template, variables), null where no template matches."""
-    plain, squeezed = templates.normalise(content), squeeze(content)
+    both = F.struct(squeeze(content).alias("squeezed"), templates.normalise(content).alias("plain"))
+    return F.get(F.transform(F.array(both), lambda x: _first(x["squeezed"], x["plain"], templates)), F.lit(0))
+
+
+def with_match(df: DataFrame, content: Column, templates: Templates, name: str) -> DataFrame:
+    """df with the same struct as `name`. What the cheap tests read is a column by itself, made once a row and not once a
+    template."""
+    squeezed = df.withColumn("_squeezed", squeeze(content))
+    plain = squeezed.withColumn("_plain", templates.normalise(F.col("_squeezed")))
+    return plain.withColumn(name, _first(F.col("_squeezed"), F.col("_plain"), templates)).drop("_squeezed", "_plain")
+
+
+def _first(squeezed: Column, plain: Column, templates: Templates) -> Column:
     last, case = templates.last(), None
     for i, start, least in templates.order():
         raw = templates.raw[i]
@@ -138,8 +150,7 @@ def match(content: Column, templates: Templates) -> Column:
         if least:
             ok = ok & (F.length(plain) >= least)
         ok = ok & squeezed.rlike(regex)
-        groups = [F.regexp_extract(squeezed, regex, g + 1) for g in range(raw.count(WILD))]
-        found = F.struct(F.lit(last[raw]).cast("int").alias("EventID"), F.lit(raw).alias("template"), F.array(*groups).cast("array<string>").alias("variables"))
+        found = F.struct(F.lit(last[raw]).cast("int").alias("EventID"), F.lit(raw).alias("template"), groups(squeezed, regex, raw.count(WILD)).alias("variables"))
         case = (F if case is None else case).when(ok, found)
     return case if case is not None else F.lit(None).cast("struct<EventID:int,template:string,variables:array<string>>")
 
@@ -171,8 +182,7 @@ def parse_templates(df: DataFrame, templates: Templates, content: str = "content
         native = len(templates.raw) <= NATIVE
     if not native:
         on_workers(df.sparkSession)
-    found = match(F.col(content), templates) if native else _matcher(templates)(F.col(content))
-    out = df.withColumn("_found", found)
+    out = with_match(df, F.col(content), templates, "_found") if native else df.withColumn("_found", _matcher(templates)(F.col(content)))
     none = F.array().cast("array<string>")
     return out.withColumns({"EventID": F.coalesce("_found.EventID", F.lit(-1)), "template": F.coalesce("_found.template", F.lit(not_found)), "variables": F.coalesce("_found.variables", none)}).drop("_found")
 
@@ -186,8 +196,7 @@ def parse_tree(df: DataFrame, lines: list[str], content: str = "content") -> Dat
     for i, raw in enumerate(Templates.of(lines).raw):
         parts = [bare(p) for p in raw.split(WILD)]
         regex = "^" + "(.*?)".join(map(literal, parts)) + r"\z"
-        groups = F.array(*(F.regexp_extract(text, regex, g + 1) for g in range(len(parts) - 1))).cast("array<string>")
-        found = F.struct(F.lit(i).alias("EventID"), F.lit(raw).alias("template"), groups.alias("variables"))
+        found = F.struct(F.lit(i).alias("EventID"), F.lit(raw).alias("template"), groups(text, regex, len(parts) - 1).alias("variables"))
         case = (F if case is None else case).when(text.rlike(regex), found)
     missing = F.struct(F.lit(-1).alias("EventID"), F.lit(TREE_NOT_FOUND).alias("template"), F.array().cast("array<string>").alias("variables"))
     out = df.withColumn("_found", missing if case is None else case.otherwise(missing))

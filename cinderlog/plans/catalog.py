@@ -29,7 +29,7 @@ from cinderlog.operators.variables import all_variables
 from cinderlog.operators.variables import watched_variables as watched_rows
 from cinderlog.plans import lifecycle
 from cinderlog.plans.config import ANY_EVENT, watched_variables
-from cinderlog.runtime import shared_dir
+from cinderlog.runtime import durable, shared_dir, spread
 from cinderlog.sources.readers import from_frame, read_indexed_json, read_log, read_wire
 from cinderlog.sources.schemas import LOG, PARSED, conform, equal_messages, from_json_message, is_complete, read_field, to_json_message
 from cinderlog.sources.writers import wire_lines, write_json_lines
@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, logID, log)"""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id", "value", "props"), "event_id")
     stamp = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
     k = F.regexp_extract("props", "([0-9]+)", 1)
     value = F.col("value").cast("decimal(18,2)").cast("string")
@@ -70,6 +70,12 @@ def parsed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_templates(parse_header(raw_logs(spark, sf_dir), FORMAT), Templates.of(TEMPLATES))
 
 
+def stored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed records as a table, as a parser hands them to the detectors that follow it: parsed once, read as often as learning
+    and scoring need."""
+    return durable(parsed_logs(spark, sf_dir).select("ord", "logID", "EventID", "variables", "logFormatVariables"), "parsed")
+
+
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = parsed.agg(F.max("ord")).first()[0]
     cut = ((n if n is not None else -1) + 1) * 4 // 5
@@ -80,7 +86,7 @@ def events_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """As split, with the cut read off the table's own order column: parsing isn't needed to count."""
     n = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
     cut = ((n if n is not None else -1) + 1) * 4 // 5
-    parsed = parsed_logs(spark, sf_dir)
+    parsed = stored_logs(spark, sf_dir)
     return parsed.where(F.col("ord") < cut), parsed.where(F.col("ord") >= cut)
 
 
@@ -142,7 +148,7 @@ def url_template(spark, sf_dir):
 
 def json_parse(spark, sf_dir):
     log = F.to_json(F.struct(F.struct("user_id", "props").alias("who"), F.col("ts").cast("string").alias("eventTime"), F.concat("event_type", F.lit(" of "), F.col("user_id").cast("string")).alias("message")))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), log.alias("log"))
+    rows = spread(table(spark, sf_dir, "events"), "event_id").select(F.col("event_id").alias("ord"), log.alias("log"))
     out = parse_json(rows, Templates.of([f"{t} of <*>" for t in TYPES]))
     field = lambda n: F.element_at("logFormatVariables", n)
     return out.select("ord", F.col("EventID").alias("event_id"), F.get("variables", F.lit(0)).alias("var_0"), field("Time").alias("time"), field("who.user_id").alias("who"), field("who.props").alias("props"))
@@ -301,7 +307,7 @@ def alert_concat(spark, sf_dir):
 
 
 def _series(spark, sf_dir):
-    return all_variables(parsed_logs(spark, sf_dir).withColumn("secs", F.element_at("logFormatVariables", "Time").cast("long")), "ord", "secs")
+    return all_variables(stored_logs(spark, sf_dir).withColumn("secs", F.element_at("logFormatVariables", "Time").cast("long")), "ord", "secs")
 
 
 def stability_means(spark, sf_dir):
@@ -330,13 +336,13 @@ def auto_new_value(spark, sf_dir):
     """A header field with a new value for each quarter of the records: stable, so it is watched, and new at the end."""
     n = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
     epoch = F.concat(F.lit("v"), F.floor(F.col("ord") * 4 / n).cast("string"))
-    parsed = parsed_logs(spark, sf_dir).withColumn("logFormatVariables", F.map_concat("logFormatVariables", F.create_map(F.lit("Epoch"), epoch)))
+    parsed = stored_logs(spark, sf_dir).withColumn("logFormatVariables", F.map_concat("logFormatVariables", F.create_map(F.lit("Epoch"), epoch)))
     found = lifecycle.run(d.NewValue("Auto", []), parsed, configure=n // 2, train=n // 4, auto=lifecycle.choose_variables)
     return shown(found)
 
 
 def seq_length(spark, sf_dir):
-    n = s.choose_length(parsed_logs(spark, sf_dir), 2, 7)
+    n = s.choose_length(stored_logs(spark, sf_dir), 2, 7)
     return spark.createDataFrame([(n,)], "length int")
 
 
@@ -351,7 +357,7 @@ def event_history(spark, sf_dir):
     """Records appended to a history, a folder for each event, in two goes, and read back."""
     path = _folder(spark, "history")
     for part in events_split(spark, sf_dir):
-        append(path, part.select("ord", "EventID", "template", "variables"))
+        append(path, part.select("ord", "EventID", "variables"))
     return spark.read.parquet(path).groupBy(F.col("EventID").cast("int").alias("event_id")).agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("last"), F.max_by(F.array_join("variables", "|"), "ord").alias("vars"))
 
 
@@ -438,7 +444,7 @@ def tree_match(spark, sf_dir):
 
 def lifecycle_run(spark, sf_dir):
     """Records handed to a detector one life long: training, then detection."""
-    parsed = parsed_logs(spark, sf_dir)
+    parsed = stored_logs(spark, sf_dir)
     n = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
     return shown(lifecycle.run(d.NewValue("NewValue", watch("var_1")), parsed, train=n * 4 // 5))
 

@@ -45,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over as many partitions as there are cores, by a hash of the columns, if it has fewer: a file of one row group is one
+    task, however much is to be done with its rows. A table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df to a fresh Parquet table in the shared folder and read it back.
 
