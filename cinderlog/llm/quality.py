@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.llm.bounded import few
 from cinderlog.llm.names import fresh
 from cinderlog.llm.texthash import portions, word_grams
 from cinderlog.runtime import durable, on_workers
@@ -56,8 +57,7 @@ class Importance:
 def labelled(labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
     """At most `rows` keys: (label_key, good, fit), fit being the half that the target model is made of."""
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("label_key")).agg(F.min(label).alias("good"))
-    some = one.orderBy(F.xxhash64("label_key"), "label_key").limit(rows)
-    return some.withColumn("fit", F.xxhash64(F.lit("half"), "label_key") % 2 == 0)
+    return few(durable(one, "label-keys"), ["label_key"], rows).withColumn("fit", F.xxhash64(F.lit("half"), "label_key") % 2 == 0)
 
 
 def _bucket_counts(orders: tuple[int, ...], bits: int):

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cinderlog.llm.bounded import few
 from cinderlog.llm.names import need_whole
 from cinderlog.llm.texthash import mix
 from cinderlog.runtime import durable, on_workers
@@ -118,7 +119,7 @@ def fit(vectors: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample: in
     """Pivots by a few rounds of k-means on the sample, rings of equal numbers of the sample's points."""
     level, width = vectors.agg(F.max("norm"), F.max("width")).first()
     level, width = level or 0.0, int(width or 0)
-    rows = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").collect()
+    rows = few(vectors.select("id", "v"), ["id"], sample).collect()
     points = lift(np.stack([np.frombuffer(r.v.ljust(8 * width, b"\0"), "<f8") for r in rows]) if rows else np.zeros((1, width)), level)
     centres = np.unique(points[:: max(1, len(points) // pivots)][:pivots], axis=0)
     for _ in range(8):
