@@ -147,7 +147,7 @@ def select_variables(classes: DataFrame, *, stable: bool = True, static: bool =
     """The variables to watch: those whose class is wanted. One row a variable of a template, so a small list; more than
     `most` is an error rather than a surprise for the driver."""
     wanted = [c for c, on in ((STABLE, stable), (STATIC, static)) if on]
-    rows = classes.where(F.col("class").isin(*wanted)).select("event", "name").orderBy("event", "name").limit(most + 1).collect()
-    if len(rows) > most:
+    chosen = durable(classes.where(F.col("class").isin(*wanted)).select("event", "name"), "chosen")
+    if chosen.count() > most:
         raise ValueError(f"more than {most} variables: name the events to watch")
-    return [w for r in rows for w in watched_variables([r.name], r.event, instance)]
+    return [w for r in sorted(chosen.collect()) for w in watched_variables([r.name], r.event, instance)]
