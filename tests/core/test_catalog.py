@@ -6,7 +6,7 @@ from conftest import SF
 
 from cinderlog.plans import catalog
 
-NAMES = ["header_parse", "template_match", "json_parse", "time_normalise", "new_value_global", "value_range", "charset", "rules", "event_sequence", "near_count_vectors", "stability_classes", "alert_concat", "seq_length"]
+NAMES = ["header_parse", "template_match", "json_parse", "time_normalise", "new_value_global", "value_range", "charset", "rules", "event_sequence", "near_count_vectors", "near_count_vectors_mean", "next_event", "masked_events", "stability_classes", "alert_concat", "seq_length", "history_retention", "auto_new_value", "mine_templates", "asked_templates", "cluster_lines", "wire_file", "saved_model"]
 
 
 def rounded(row):
@@ -16,7 +16,7 @@ def rounded(row):
 @pytest.fixture(scope="module")
 def con():
     out = duckdb.connect()
-    for name in ("events", "documents", "pages", "orders", "conversations"):
+    for name in ("events", "documents", "pages", "orders", "conversations", "nation"):
         out.execute(f"create view {name} as from '{SF}/{name}.parquet'")
     return out
 
