@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cinderlog.functions.text import squeeze
+from cinderlog.functions.text import groups, squeeze
 
 #: Seconds from 1900 to 1970: a time of day without a date is on the first day of 1900.
 SINCE_1900 = 2_208_988_800
@@ -80,23 +80,37 @@ def with_format(text: Column, fmt: str, year: Column | None = None) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Seconds from a plain number of seconds, or of thousandths and so on, or null."""
-    whole = F.when(text.rlike(r"^\d+(\.\d+)?$"), F.regexp_extract(text, r"^(\d+)", 1).try_cast("decimal(38,0)"))
-    # One step is one lambda, whose number isn't written out once more with each step.
-    fold = lambda x, _: F.when(x > 100_000_000_000, F.floor(x / 1000).cast("decimal(38,0)")).otherwise(x)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(9)), whole, fold).cast("long")
+    """Seconds from a plain number of seconds, or of thousandths and so on, or null: three digits go as often as it takes to
+    come down to 100,000,000,000."""
+    digits = F.ltrim(F.regexp_extract(text, r"^(\d+)", 1), F.lit("0"))
+    size = F.length(digits)
+    folds = F.greatest(F.lit(0), F.ceil((size - 11) / 3))
+    left = lambda k: F.substring(digits, F.lit(1), (size - 3 * k).cast("int"))
+    # One fold less is enough for the very number that it has to come down to.
+    whole = F.when(left(folds - 1) == "100000000000", left(folds - 1)).otherwise(left(folds))
+    plain = text.rlike(r"^\d+(\.\d+)?$") & (size <= 38)
+    return F.when(plain, F.coalesce(F.when(size <= 11, digits).otherwise(whole).try_cast("long"), F.lit(0)))
+
+
+#: Date, time, fraction and zone, each finer part only after the one before it.
+_ISO = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d{1,9})?)?)?(?:([+-])(\d{2})(?::?(\d{2})(?::?\d{2})?)?)?)?$"
 
 
 def iso(text: Column) -> Column:
     """ISO 8601, with or without a time, a fraction and a zone."""
+
+    def seconds(parts: Column) -> Column:
+        # Null instead of '': a cast that fails, even a tried one, costs an exception a row.
+        part = lambda i: F.coalesce(F.nullif(F.get(parts, F.lit(i)), F.lit("")).cast("int"), F.lit(0))
+        day = F.unix_date(F.concat_ws("-", *(F.get(parts, F.lit(i)) for i in range(3))).try_cast("date")).cast("long") * 86_400
+        offset = F.when(F.get(parts, F.lit(6)) == "-", -1).otherwise(1) * (part(7) * 3600 + part(8) * 60)
+        valid = (part(3) < 24) & (part(4) < 60) & (part(5) < 60)
+        return F.when(valid, day + part(3) * 3600 + part(4) * 60 + part(5) - offset)
+
     clean = F.regexp_replace(text, "Z$", "+00:00")
-    shape = r"^\d{4}-?\d{2}-?\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,9})?)?)?([+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
-    day = F.concat_ws("-", F.regexp_extract(clean, r"^(\d{4})-?(\d{2})-?(\d{2})", 1), F.regexp_extract(clean, r"^(\d{4})-?(\d{2})-?(\d{2})", 2), F.regexp_extract(clean, r"^(\d{4})-?(\d{2})-?(\d{2})", 3))
-    time = r"^\d{4}-?\d{2}-?\d{2}[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?(?:([+-])(\d{2})(?::?(\d{2}))?)?.*$"
-    part = lambda i: F.coalesce(F.regexp_extract(clean, time, i).try_cast("int"), F.lit(0))
-    valid = (part(1) < 24) & (part(2) < 60) & (part(3) < 60)
-    offset = F.when(F.regexp_extract(clean, time, 4) == "-", -1).otherwise(1) * (part(5) * 3600 + part(6) * 60)
-    return F.when(clean.rlike(shape) & valid, _at(day, "yyyy-MM-dd") + part(1) * 3600 + part(2) * 60 + part(3) - offset)
+    # The parts are cut out once, and bound to a name.
+    found = F.get(F.transform(F.array(groups(clean, _ISO, 9)), seconds), F.lit(0))
+    return F.when(clean.rlike(_ISO), found)
 
 
 #: Notations tried last, in this order.
