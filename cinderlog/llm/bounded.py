@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 from cinderlog.runtime import durable
 
 
-def frequent(counts: DataFrame, n: str, most: int, name: str) -> list[Row]:
-    """Rows of the highest counts n (1 at least), `most` at most, in no order: all whose count is in the highest eighths of
-    powers of two that together hold no more. One row for each of these, and the rows themselves, reach the driver."""
+def frequent_and_rest(counts: DataFrame, n: str, most: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the highest counts n (1 at least), `most` at most, and all others; None if there are no others. The first
+    are all whose count is in the highest eighths of powers of two that together hold no more. One row for each eighth reaches
+    the driver."""
     total = durable(counts.withColumn("level", F.floor(F.log2(n) * 8).cast("int")), name)
-    held, least = 0, None
+    held, least, rest = 0, None, False
     for r in sorted(total.groupBy("level").count().collect(), reverse=True):
         if (held := held + r["count"]) > most:
+            rest = True
             break
         least = r.level
-    return [] if least is None else total.where(F.col("level") >= least).drop("level").collect()
+    high = F.lit(False) if least is None else F.col("level") >= least
+    return total.where(high).drop("level"), total.where(~high).drop("level") if rest else None
+
+
+def frequent(counts: DataFrame, n: str, most: int, name: str) -> list[Row]:
+    """The first of `frequent_and_rest`, on the driver, in no order."""
+    return frequent_and_rest(counts, n, most, name)[0].collect()
 
 
 def few(df: DataFrame, keys: list[str], most: int) -> DataFrame:

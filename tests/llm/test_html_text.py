@@ -112,6 +112,27 @@ def test_a_frame_without_names_is_found_by_its_pairs(spark):
         assert got[k].split("\n") == own
 
 
+def test_paths_beyond_the_table_are_judged_all_the_same(spark, monkeypatch):
+    """The size of the workers' table decides no line: of articles, of pages without one, of copies and of empty pages."""
+    words = [f"w{k}" for k in range(50)]
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for k in range(400):
+        own, (site, kind) = [say(12) for _ in range(4)], (("a", "article"), ("b", "section"))[k % 2]
+        body = "".join(f"<div class=t>{x}</div>" for x in own)
+        page = f"<div class=box>{own[0]} {k}</div><{kind}>{body}<div class=more>Read on: {k // 2 % 2}</div><div class=kin>Of interest</div></{kind}>"
+        rows.append((k, f"http://{site}.org/{k % 7}/{k}", page, "", 0))
+        want[k] = [f"{own[0]} {k}", *own]
+    rows += [(1000 + k, url, page, "", 0) for k, url, page, _, _ in rows[:20]] + [(2000, "http://a.org/1/x", None, "", 0), (2001, None, "", "", 0)]
+    want |= {1000 + k: want[k] for k in range(20)} | {2000: [""], 2001: [""]}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for most in (65_536, 1):
+        monkeypatch.setattr(ht, "PATHS", most)
+        got = [(r.page_id, r.text.split("\n")) for r in ht.main_text(df).collect()]
+        assert sorted(got) == sorted(want.items()), most
+
+
 def test_differencing_of_pages_without_article(spark):
     page = lambda body: f"<body><div>Site name</div><div>Today</div>{body}<div>Contact</div></body>"
     rows = [
