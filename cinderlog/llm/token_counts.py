@@ -4,9 +4,10 @@ Tier 1 is a broadcast table of frequent pre-tokens and their token counts. It ho
 32 characters, so its size is bounded whatever the corpus. Tier 2 is each worker's own bounded cache: pre-tokens that the
 table lacks are encoded once per worker, in batches. Counting a text is one lookup per pre-token.
 
-Tier 1 comes from a share of all documents, told by a hash of their texts, so that every source and tongue has its part. Each
-task counts its documents' words in a table of bounded size and hands on its TASK_WORDS most frequent ones; only those are
-added up. Which words tier 1 holds changes the speed only, never a count: words that it lacks are encoded all the same.
+Tier 1 comes from the counts of all pre-tokens of all documents. Each task adds up its documents' words in a table of bounded
+size, which it hands on whole whenever it is full, so that the sums are exact. Words that occur once have no place in it:
+looking them up would save nothing. Which words tier 1 holds changes the speed only, never a count of tokens: words that it
+lacks are encoded all the same.
 
 Edge cases: null text counts as the empty text (0 tokens); strings of special tokens inside a text count as the one token
 they are; very long texts are counted in pieces cut where pre-tokens end; an empty table gives an empty table; repeated rows
@@ -26,9 +27,8 @@ from cinderlog.llm.bounded import frequent
 from cinderlog.llm.bpe import PIECE, Encoder, encoder, load_tables, merge_rounds
 from cinderlog.runtime import on_workers
 
-TIER_WORDS, TASK_WORDS, LONGEST = 65_536, 16_384, 32
-#: Of documents, those that tier 1's words come from: one of SHARE, or more where there are fewer than SHARE x LEAST_ROWS.
-SHARE, LEAST_ROWS = 64, 4_000
+#: Of tier 1: most words, least occurrences and most characters of a word; and words that a task holds before it hands them on.
+TIER_WORDS, LEAST, LONGEST, TASK_WORDS = 65_536, 2, 32, 262_144
 CACHE_WORDS = 400_000
 
 
@@ -81,36 +81,50 @@ class Counts(dict):
 _counts: dict[tuple, Counts] = {}
 
 
-def frequent_words(df: DataFrame, tables, text: str = "text", share: int = SHARE, least: int = LEAST_ROWS) -> list[str]:
-    """The most frequent pre-tokens of one in `share` documents, or of about `least` if there are fewer."""
-    share = max(1, min(share, df.count() // least))
+def frequent_words(df: DataFrame, tables, text: str = "text", least: int = LEAST) -> list[str]:
+    """The most frequent pre-tokens of all documents, of those that occur `least` times."""
     shared = df.sparkSession.sparkContext.broadcast(tables)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, e = Counter(), encoder(shared.value)
+        seen, held, size, e = Counter(), [], 0, encoder(shared.value)
+
+        def add() -> None:
+            for w, n in Counter(held).items():
+                if len(w) <= LONGEST:
+                    seen[w] += n
+            held.clear()
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["w", "n"])
+
         for x in batches:
             for t in x.column(0).to_pylist():
-                for words, _ in e.words(t):
-                    seen.update(w for w in words if len(w) <= LONGEST)
-                if len(seen) > 16 * TASK_WORDS:
-                    seen = Counter(dict(seen.most_common(8 * TASK_WORDS)))
-        most = seen.most_common(TASK_WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in most], pa.string()), pa.array([n for _, n in most], pa.int64())], ["w", "n"])
+                for part in e.special.split(t) if e.special else [t]:
+                    for words, n in e.words(part) if part not in e.tables.special else ():
+                        held += words
+                        size += n
+                        if size >= PIECE:
+                            add()
+                            size = 0
+                            if len(seen) >= TASK_WORDS:
+                                yield table()
+                                seen.clear()
+        add()
+        yield table()
 
-    some = df.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).where(F.col(text).isNotNull()).select(text)
-    total = some.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in sorted(frequent(total, "n", TIER_WORDS, "words"), key=lambda r: (-r.n, r.w))]
+    total = df.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r.w for r in sorted(frequent(total.where(F.col("n") >= least), "n", TIER_WORDS, "words"), key=lambda r: (-r.n, r.w))]
 
 
-def byte_bpe_counter(spark: SparkSession, path: str, df: DataFrame, text: str = "text", share: int = SHARE):
+def byte_bpe_counter(spark: SparkSession, path: str, df: DataFrame, text: str = "text"):
     """A column function: the number of tokens of a text under the byte-level BPE at path.
 
-    df, text: where tier 1 takes its frequent words from, one in `share` documents.
+    df, text: the documents whose frequent words tier 1 holds.
     """
     on_workers(spark)
     tables = load_tables(path)
     e = Encoder(tables)
-    words = frequent_words(df, tables, text, share)
+    words = frequent_words(df, tables, text)
     for at in range(0, len(words), 8192):
         e.learn(set(words[at : at + 8192]))
     tier = spark.sparkContext.broadcast((tables, {w: len(e.known[w]) // 4 for w in words}))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -96,3 +97,15 @@ def test_frequent_words_come_from_all_documents(spark):
     words = token_counts.frequent_words(df, bpe.load_tables(PATH), least=1000)
     assert {"omega", "alpha"} <= set(words) and words[0] != "omega" and len(words) < n
     assert token_counts.frequent_words(df.limit(0), bpe.load_tables(PATH)) == []
+
+
+def test_frequent_words_are_counted_over_every_document(spark, encoder, monkeypatch):
+    """Words that two documents of 20,000 share are in the table, by their whole counts, however small a task's table is."""
+    xs = [f"alpha w{k % 10_000:05d}x beta{'!' * (k % 7)}<|endoftext|>{'y' * 40}" for k in range(20_000)] + ["omega " * 200_000, None]
+    df = spark.createDataFrame([(x,) for x in xs], "text string").repartition(3)
+    want = Counter(w for x in xs if x for part in x.split("<|endoftext|>") for words, _ in encoder.words(part) for w in words if len(w) <= token_counts.LONGEST)
+    want = [w for n, w in sorted((-n, w) for w, n in want.items() if n > 1)]
+    assert len(want) < token_counts.TIER_WORDS and token_counts.frequent_words(df, encoder.tables) == want
+    monkeypatch.setattr(token_counts, "TASK_WORDS", 5)
+    monkeypatch.setattr(token_counts, "PIECE", 1000)
+    assert token_counts.frequent_words(df, encoder.tables) == want
