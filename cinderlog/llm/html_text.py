@@ -425,6 +425,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     else:
         whole = whole.join(rest.hint("merge"), "whole", "left")
     read = whole.select("k", "u", "h", "verdicts").mapInArrow(_parse(shared, names), f"k {kind['k']}, u {kind['u']}, text string, blocks array<string>, free array<boolean>")
+    if rest is not None and some_bare and names:
+        read = durable(read, "read")  # else the join would move all pages twice
     plain = read.where(F.col("text").isNotNull()).select("k", "u", "text")
     if not (some_bare and names):
         return plain.select(F.col("k").alias(key), F.col("u").alias(url), "text")
